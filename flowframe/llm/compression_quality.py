@@ -2,11 +2,12 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed in
 blocks with each; the difference of the two sizes, divided by the size without a dictionary, is the
-evidence. A logistic curve fitted on labelled texts that the dictionaries have not seen turns it into
-a probability. Long texts are cut into blocks because a compressor soon knows more from the text
+evidence. Beside it stands the logarithm of the plain compression ratio, as endlessly repeated words
+shrink alike under any dictionary. A logistic curve fitted on labelled texts that the dictionaries have
+not seen turns both into a probability. Long texts are cut into blocks because a compressor soon knows more from the text
 itself than from the dictionary; every block of the whole text counts.
 
-Defined results: null and empty texts have evidence 0 and get the curve's value there; equal texts
+Defined results: null and empty texts have no evidence (0, 0) and get the curve's value there; equal texts
 have equal scores; without any label of a class every score is the share of good labels (0.5 if there
 are no labels at all). Rows of `labels` with a null doc_id or quality teach nothing.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, ...]
     offset: float
 
 
@@ -46,27 +47,33 @@ class Sizes:
         ]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
-    def evidence(self, data: bytes) -> float:
+    def evidence(self, data: bytes) -> tuple[float, float]:
+        """The normalised size difference, and the logarithm of the plain compression ratio."""
         if not data:
-            return 0.0
+            return 0.0, 0.0
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         good, bad, plain = (sum(len(tool.compress(x)) for x in blocks) for tool in (*self.tools, self.plain))
-        return (bad - good) / plain
+        return (bad - good) / plain, float(np.log2(plain / len(data)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Newton's method with a small ridge; x is one feature."""
-    a, b = 1.0, 0.0
-    features = np.stack([x, np.ones_like(x)], 1)
+def _curve(x: np.ndarray, slopes: tuple[float, ...], offset: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(slopes) + offset, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Newton's method with a small ridge, on standardised features."""
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    features = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    theta, ridge = np.zeros(features.shape[1]), 0.1 * np.eye(features.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        gradient = features.T @ (weight * (y - p)) - 1e-4 * np.array([a, b])
-        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + 1e-4 * np.eye(2)
-        step = np.clip(np.linalg.solve(hessian, gradient), -20, 20)
-        a, b = a + step[0], b + step[1]
+        p = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
+        gradient = features.T @ (weight * (y - p)) - ridge @ theta
+        step = np.linalg.solve((features * (weight * p * (1 - p))[:, None]).T @ features + ridge, gradient)
+        theta = theta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(a), float(b)
+    slopes = theta[:-1] / spread
+    return tuple(map(float, slopes)), float(theta[-1] - slopes @ mean)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -80,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     total = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         share = 0.5 if not total else float(min(max(next(iter(total)), 1e-6), 1 - 1e-6))
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Model(b"", b"", (), float(np.log(share / (1 - share))))
     # more ids than are wanted, as some have long texts or none: a bound on what is broadcast and collected
     picked = [marks.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_PER_CLASS) for q in (0, 1)]
     picked = picked[0].unionAll(picked[1]).select(F.col("doc_id").alias("__id"), "quality")
@@ -91,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = {q: [r["text"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["text"])) if r["quality"] == q] for q in (0, 1)}
     share = total[1] / (total[0] + total[1])
     if not texts[0] or not texts[1]:
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Model(b"", b"", (), float(np.log(share / (1 - share))))
     # every third text calibrates, the others make the dictionaries
     held = {q: texts[q][::3] for q in texts}
     seen = {q: [x for i, x in enumerate(texts[q]) if i % 3] or texts[q] for q in texts}
@@ -119,10 +126,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def scored(texts):
         sizes = Sizes(model.good, model.bad)
-        evidence = np.array([sizes.evidence(x.encode()) for x in texts]) if model.slope else np.zeros(len(texts))
-        import pandas as pd
-
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * evidence + model.offset, -30, 30))))
+        evidence = np.array([sizes.evidence(x.encode()) for x in texts]).reshape(len(texts), -1) if model.slopes else np.zeros((len(texts), 0))
+        return pd.Series(_curve(evidence, model.slopes, model.offset))
 
     return docs.withColumn(name, text_or_empty()).withColumn("quality_score", scored(F.col(name))).drop(name)
 
