@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from .compression_quality import op10_compression_quality
+from .phrase_fingerprint import op2_phrase_fingerprint
 from .sentencepiece_codec import op6_sentencepiece
 from .simhash_pivots import op3_simhash_pivots
+from .string_tiling import op8_string_tiling
+from .warc_revisit import op4_warc_revisit
 
-QUERIES = {f.__name__: f for f in (op3_simhash_pivots, op6_sentencepiece, op10_compression_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_phrase_fingerprint,
+        op3_simhash_pivots,
+        op4_warc_revisit,
+        op6_sentencepiece,
+        op8_string_tiling,
+        op10_compression_quality,
+    )
+}
 
 ORACLES: dict[str, str] = {}
