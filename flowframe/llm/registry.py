@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .compression_quality import op10_compression_quality
+from .disclosure import op1_disclosure
+from .language_evidence import op5_language_evidence
 from .phrase_fingerprint import op2_phrase_fingerprint
 from .sentencepiece_codec import op6_sentencepiece
 from .simhash_pivots import op3_simhash_pivots
@@ -12,9 +14,11 @@ from .warc_revisit import op4_warc_revisit
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_disclosure,
         op2_phrase_fingerprint,
         op3_simhash_pivots,
         op4_warc_revisit,
+        op5_language_evidence,
         op6_sentencepiece,
         op8_string_tiling,
         op10_compression_quality,
