@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.llm import compression_quality, sentencepiece_codec, simhash_pivots
+from flowframe.llm import compression_quality, disclosure, sentencepiece_codec, simhash_pivots, string_tiling
 from flowframe.llm.common import cut, table
 
 
@@ -23,6 +23,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = string_tiling.matches(docs, table(spark, sf_dir, "benchmark"))
+    gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and what discloses it are replaced in the texts."""
+    return disclosure.sanitised(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(docs, sentencepiece_codec.default_model())
 
@@ -30,6 +42,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", drop_low_quality),
     ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("PII", sanitise),
     ("SentencePiece encoding and decoding", encode),
 ]
 
