@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .compression_quality import op10_compression_quality
+from .deleted_interpolation import op7_deleted_interpolation
 from .disclosure import op1_disclosure
 from .language_evidence import op5_language_evidence
 from .phrase_fingerprint import op2_phrase_fingerprint
@@ -20,6 +21,7 @@ QUERIES = {
         op4_warc_revisit,
         op5_language_evidence,
         op6_sentencepiece,
+        op7_deleted_interpolation,
         op8_string_tiling,
         op10_compression_quality,
     )
