@@ -10,6 +10,7 @@ from .phrase_fingerprint import op2_phrase_fingerprint
 from .sentencepiece_codec import op6_sentencepiece
 from .simhash_pivots import op3_simhash_pivots
 from .string_tiling import op8_string_tiling
+from .suffix_dedup import op9_suffix_dedup
 from .warc_revisit import op4_warc_revisit
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
         op6_sentencepiece,
         op7_deleted_interpolation,
         op8_string_tiling,
+        op9_suffix_dedup,
         op10_compression_quality,
     )
 }
