@@ -55,10 +55,14 @@ def fit(docs: DataFrame, lang_col: str = "lang") -> Model:
     labelled = labelled.where("doc_id is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     named = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
     counts = np.full((1 << BITS, len(named)), 0.5)
-    fitting = labelled.where(f"length(text) between 3 and {SAMPLE_TEXT}").select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    for i, name in enumerate(named):
-        for row in fitting.where(F.col("lang") == name).orderBy("h", "text").limit(SAMPLE_PER_LANGUAGE).collect():
-            counts[:, i] += np.bincount(_trigrams(row["text"].encode()), minlength=1 << BITS)
+    fitting = labelled.where(f"length(text) between 3 and {SAMPLE_TEXT}")
+    # ids alone compete for the sample, so no task sends texts that don't win
+    ids = fitting.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    picked = [r for name in named for r in ids.where(F.col("lang") == name).orderBy("h", "doc_id").limit(SAMPLE_PER_LANGUAGE).collect()]
+    if picked:
+        chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "id bigint, of string"))
+        for row in fitting.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "text").collect():
+            counts[:, named.index(row["lang"])] += np.bincount(_trigrams(row["text"].encode()), minlength=1 << BITS)
     return Model(tuple(named), np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32))
 
 
