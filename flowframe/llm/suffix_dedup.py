@@ -23,6 +23,7 @@ are ordered by text; a null doc_id stands first.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -237,7 +238,33 @@ def _rows(keys, doc, tid, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "doc": pa.array(doc, pa.int64()), "tid": pa.array(tid, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
 
 
+def _repeats_itself(chunk: bytes) -> bool:
+    """Whether two strings of SPAN bytes in it may be equal: then all GRAM-byte strings in the first of them come again."""
+    return any(chunk.find(chunk[k : k + GRAM], k + 1) >= 0 for k in range(0, len(chunk) - GRAM, _WINDOW - 1))
+
+
 def _shard(rows: dict[str, list]) -> list[pa.RecordBatch]:
+    """Of equal chunks all but the earliest go whole; those that are left and may still share strings are sorted."""
+    order = sorted(range(len(rows["chunk"])), key=lambda i: (rows["doc"][i], rows["tid"][i], rows["place"][i]))
+    place_of = lambda i: (rows["doc"][i], rows["tid"][i], rows["place"][i])
+    first: dict[tuple[int, bytes], int] = {}
+    whole = []
+    for i in order:
+        j = first.setdefault((rows["anchor"][i], rows["chunk"][i]), i)
+        if j != i and place_of(i) != place_of(j):
+            whole.append(i)
+    under = Counter(a for a, _ in first)
+    left = [i for (a, c), i in first.items() if under[a] > 1 or rows["split"][i] or _repeats_itself(c)]
+    out = []
+    if whole:
+        doc, tid, start = ([rows[n][i] for i in whole] for n in ("doc", "tid", "place"))
+        out.append(_rows([None] * len(whole), doc, tid, start, [rows["place"][i] + len(rows["chunk"][i]) for i in whole]))
+    if left:
+        out += _sorted_strings({n: [v[i] for i in left] for n, v in rows.items()})
+    return out
+
+
+def _sorted_strings(rows: dict[str, list]) -> list[pa.RecordBatch]:
     """One suffix array: intervals that repeat an earlier place of the shard; of split anchors also each string's first place, under its digest."""
     chunks = rows["chunk"]
     size = np.array([len(c) for c in chunks])
