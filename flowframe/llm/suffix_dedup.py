@@ -4,7 +4,9 @@ A byte goes if a string of SPAN bytes that covers it also starts earlier in the
 keep the suffix arrays small and lose nothing. A whole text that an earlier document has too is wholly
 repeated if it has SPAN bytes, and what it repeats, the earlier document repeats, so it takes no further
 part. And every string of SPAN bytes holds an anchor, the GRAM-byte string whose hash is the least in it,
-picked alike wherever the string stands: strings whose anchors occur once are unique.
+picked alike wherever the string stands, with REACH bytes more before it or behind it: strings whose
+anchors occur once so extended are unique. (Anchors alone come again by chance, and the more so the larger
+the corpus.)
 
 Shards are groups of repeated anchors with the text around each of their places. A shard's suffixes are
 sorted by prefix doubling after Larsson and Sadakane: they start ordered by 8 bytes, and each round
@@ -34,11 +36,13 @@ from .common import by_bytes, cut, shuffle_partitions, table, text_or_empty
 
 SPAN, GRAM = 100, 36
 _WINDOW = SPAN - GRAM + 1
+REACH = _WINDOW // 2  # of what a string has beside its anchor, one side holds half
 _SLICE = 1_500_000
 _SHARD = 3_000_000  # bytes of context that one suffix array takes in
 HOT = 2000  # places of an anchor that stay together, at least
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_PREFIX = 24  # bits of its anchor's hash that a key starts with
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -67,11 +71,20 @@ def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _sided(h: np.ndarray, place: np.ndarray, other: np.ndarray, side: int) -> np.ndarray:
+    """Keys of anchors with their neighbours on one side: the first _PREFIX bits are the anchor's, the rest mixed."""
+    with np.errstate(over="ignore"):
+        k = (h[place] * _U(0xD6E8FEB86659FD93) + (h[other] ^ (h[other] >> _U(31))) + _U(side)) * _BASE
+    low = _U((1 << (64 - _PREFIX)) - 1)
+    return (h[place] & ~low) | ((k ^ (k >> _U(32))) & low)
+
+
 def anchors(texts: list[bytes]):
-    """Two tables over texts of SPAN bytes or more.
+    """Three tables over texts of SPAN bytes or more.
 
-    Anchors: (hash) of every place that is the least of some SPAN-byte string. Runs: (text, first, last, hash) of
-    neighbouring strings with the same least hash.
+    Anchors: (place, hash) of every place that is the least of some SPAN-byte string, places counted through all
+    texts. Keys: (anchor's number, key) of each side on which an anchor has REACH bytes. Runs: (text, first,
+    last, hash, place of first) of neighbouring strings with the same least hash.
     """
     h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
     least = _sliding(h, _WINDOW, np.minimum)
@@ -84,14 +97,28 @@ def anchors(texts: list[bytes]):
     # a place is an anchor if its hash is the least of some window over it, which then is the largest of these minima
     around = np.concatenate([np.zeros(_WINDOW - 1, _U), np.where(inside, least, _U(0)), np.zeros(_WINDOW - 1, _U)])
     best = _sliding(around, _WINDOW, np.maximum)[: len(h)]
-    chosen = h[(h == best) & (best > 0)]
+    place = np.flatnonzero((h == best) & (best > 0))
+    text = np.searchsorted(stop, place, side="right")
+    before = np.flatnonzero(place - REACH >= start[text])
+    behind = np.flatnonzero(place + GRAM + REACH <= stop[text])
+    key = np.concatenate([_sided(h, place[before], place[before] - REACH, 1), _sided(h, place[behind], place[behind] + REACH, 2)])
     new = inside.copy()
     new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     new[start] = True
     first = np.flatnonzero(new)
     owner = np.searchsorted(stop, first, side="right")
     last = np.minimum(np.append(first[1:] - 1, len(least) - 1), stop[owner] - SPAN)
-    return chosen, owner, first - start[owner], last - start[owner], least[first]
+    return (place, h[place]), (np.concatenate([before, behind]), key), (owner, first - start[owner], last - start[owner], least[first], first)
+
+
+def runs_of(place: np.ndarray, h: np.ndarray, least: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each anchor's run: strings over one place of which it is the least are neighbours, so it is the nearest before with its hash."""
+    at = np.searchsorted(first, place, side="right") - 1
+    open_ = np.flatnonzero(least[at] != h)
+    while len(open_):
+        at[open_] -= 1
+        open_ = open_[least[at[open_]] != h[open_]]
+    return at
 
 
 def equal_strings(data: np.ndarray, judged: np.ndarray) -> np.ndarray:
@@ -166,33 +193,36 @@ def _firsts(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(repeats) if small else repeats, "number", "left_anti").select("doc", "tid", "data")
 
 
-FILTER_BITS = 27
+FILTER_BITS = (27, 30)  # least and most: 16 to 128 MB
 
 
 def _anchor_counts(firsts: DataFrame) -> DataFrame:
+    """(key, n) of anchors' keys that occur more than once. Checkpointed."""
+
     def run(batches):
         for batch in batches:
             data = batch.column("data").to_pylist()
             for a, b in by_bytes(data, _SLICE):
-                found, n = np.unique(anchors(data[a:b])[0].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(found), "n": pa.array(n, pa.int64())})
+                found, n = np.unique(anchors(data[a:b])[1][1].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(found), "n": pa.array(n, pa.int64())})
 
-    counted = firsts.select("data").mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = firsts.select("data").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return cut(counted.where("n > 1"))
 
 
-def _filter(repeated: DataFrame) -> bytes:
-    """2^FILTER_BITS bits (16 MB whatever the corpus): which anchors may be repeated."""
-    width = 1 << (FILTER_BITS - 12)  # rows of 2^12 bits
-    slot = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
+def _filter(repeated: DataFrame, n_keys: int) -> bytes:
+    """Which keys may be repeated, by their last bits: eight bits a key within FILTER_BITS. Beyond, more is sorted, and nothing lost."""
+    bits = min(max((8 * n_keys).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    width = 1 << (bits - 12)  # rows of 2^12 bits
+    slot = F.col("key").bitwiseAND((1 << bits) - 1)
 
     def run(batches):
-        bits = np.zeros((width, 1 << 9), np.uint8)
+        marks = np.zeros((width, 1 << 9), np.uint8)
         for batch in batches:
             s = batch.column("slot").to_numpy()
-            np.bitwise_or.at(bits.reshape(-1), s >> 3, (1 << (s & 7)).astype(np.uint8))
-        for i in np.flatnonzero(bits.any(1)).tolist():
-            yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "bits": pa.array([bits[i].tobytes()], pa.binary())})
+            np.bitwise_or.at(marks.reshape(-1), s >> 3, (1 << (s & 7)).astype(np.uint8))
+        for i in np.flatnonzero(marks.any(1)).tolist():
+            yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "bits": pa.array([marks[i].tobytes()], pa.binary())})
 
     partitions = min(32, shuffle_partitions(repeated.sparkSession))
     spread = repeated.select(slot.alias("slot")).distinct().repartitionByRange(partitions, "slot")
@@ -203,7 +233,7 @@ def _filter(repeated: DataFrame) -> bytes:
 
 
 def _contexts(firsts: DataFrame, bits: bytes, crowded: dict[int, int]) -> DataFrame:
-    """Each run of strings under an anchor that may be repeated, with its bytes; runs of a crowded anchor are dealt to parts."""
+    """Each run of strings whose anchor may be repeated, with its bytes; runs of crowded anchors are dealt to parts."""
     sent = firsts.sparkSession.sparkContext.broadcast((bits, crowded))
 
     def run(batches):
@@ -211,11 +241,12 @@ def _contexts(firsts: DataFrame, bits: bytes, crowded: dict[int, int]) -> DataFr
         for batch in batches:
             docs, tids, data = (batch.column(c).to_pylist() for c in ("doc", "tid", "data"))
             for a, b in by_bytes(data, _SLICE):
-                _, owner, first, last, h = anchors(data[a:b])
-                slot = (h >> _U(64 - FILTER_BITS)).astype(np.int64)
-                may = np.flatnonzero((known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                own, i, j, key = (x[may].tolist() for x in (owner, first, last, h.view(np.int64)))
-                parts = [parts_of.get(k, 1) for k in key]
+                (spot, h), (of, side_key), (owner, first, last, least, begin) = anchors(data[a:b])
+                slot = (side_key & _U(8 * len(known) - 1)).astype(np.int64)
+                seen = np.unique(of[((known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0])
+                may = np.unique(runs_of(spot[seen], h[seen], least, begin))
+                own, i, j, key = (x[may].tolist() for x in (owner, first, last, least.view(np.int64)))
+                parts = [parts_of.get(k, 1) for k in (least[may] >> _U(64 - _PREFIX)).tolist()]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "anchor": pa.array(key, pa.int64()),
@@ -322,10 +353,11 @@ def removals(docs: DataFrame, partitions: int | None = None, hot: int = HOT) ->
     repeats = _repeats(rows)
     firsts = _firsts(rows, repeats)
     repeated = _anchor_counts(firsts)
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    most = max(hot, total // (64 * partitions))  # so at most 64 anchors a partition are crowded
-    crowded = {r["anchor"]: -(-r["n"] // most) for r in repeated.where(F.col("n") > most).collect()}
-    contexts = _contexts(firsts, _filter(repeated), crowded)
+    n_keys, total = (int(x or 0) for x in repeated.agg(F.count(F.lit(1)), F.sum("n")).first())
+    most = max(hot, total // (128 * partitions))  # an anchor has two keys; so at most 64 prefixes a partition are crowded
+    by_prefix = repeated.groupBy(F.shiftrightunsigned("key", 64 - _PREFIX).alias("prefix")).agg(F.ceil(F.sum("n") / 2).alias("n"))
+    crowded = {r["prefix"]: -(-r["n"] // most) for r in by_prefix.where(F.col("n") > most).collect()}
+    contexts = _contexts(firsts, _filter(repeated, n_keys), crowded)
     found = cut(contexts.repartition(partitions, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_shards, _FOUND))
     inside = found.where("key is null").select("doc", "tid", "start", "stop")
     merge = found.where("key is not null")
@@ -339,8 +371,6 @@ def deduplicated(docs: DataFrame, partitions: int | None = None, hot: int = HOT)
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is binary."""
     rows, repeats, spans = removals(docs, partitions, hot)
     marks = cut(spans.unionAll(repeats.select("number", F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))))
-    total = marks.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
-    marks = F.broadcast(marks) if total * 2 <= SENT_ROWS else marks
     slim = rows.select("doc_id", _row_number("doc", "tid").alias("number"), "data").join(marks, "number", "left").select("doc_id", "data", "spans")
 
     def run(batches):
