@@ -179,11 +179,21 @@ def _row_number(doc, tid):
     return F.xxhash64(doc, tid)
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """(number) of rows whose whole text an earlier document has."""
-    heads = rows.where(F.length("data") >= SPAN).select("doc", "tid", "digest")
-    first = heads.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    return cut(heads.join(first, "digest").where("doc > first").select(_row_number("doc", "tid").alias("number")).distinct())
+def _repeats(rows: DataFrame, partitions: int) -> DataFrame:
+    """(number) of rows whose whole text an earlier document has.
+
+    A group with over an eighth of a partition's share of the rows is met by broadcast, so that no task gets all
+    of its copies: there are fewer than 8 such groups a partition. The others are joined.
+    """
+    heads = cut(rows.where(F.length("data") >= SPAN).select("doc", "tid", F.unhex("digest").alias("digest")))
+    groups = heads.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("copies"))
+    groups = cut(groups.where("first < last").select("digest", "first", "copies"))
+    crowd = F.col("copies") > heads.count() // (8 * partitions)
+    crowded = F.broadcast(groups.where(crowd).select("digest", F.col("first").alias("crowd_first")))
+    marked = heads.join(crowded, "digest", "left")
+    few = marked.where("crowd_first is null").join(groups.where(~crowd).select("digest", "first"), "digest").where("doc > first")
+    later = marked.where("doc > crowd_first").select("doc", "tid").unionAll(few.select("doc", "tid"))
+    return cut(later.select(_row_number("doc", "tid").alias("number")).distinct())
 
 
 def _firsts(rows: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -350,7 +360,7 @@ def removals(docs: DataFrame, partitions: int | None = None, hot: int = HOT) ->
     spark = docs.sparkSession
     partitions = partitions or shuffle_partitions(spark)
     rows = _prepared(docs)
-    repeats = _repeats(rows)
+    repeats = _repeats(rows, partitions)
     firsts = _firsts(rows, repeats)
     repeated = _anchor_counts(firsts)
     n_keys, total = (int(x or 0) for x in repeated.agg(F.count(F.lit(1)), F.sum("n")).first())
