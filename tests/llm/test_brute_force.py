@@ -308,3 +308,17 @@ def test_nulls_and_empty_tables(spark):
     assert warc_revisit.revisits(pages.limit(0)).count() == 0
     only = compression_quality.score(docs, compression_quality.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int"))).collect()
     assert [r.quality_score for r in only] == [0.5] * 4
+
+
+def test_few_and_many_copies(spark):
+    """Groups on both sides of the bound above which copies are met by broadcast."""
+    rows = [(i, f"{'many' if i % 2 else f'pair {i // 4}'} copies of a text " + "of its own %d " % (1 if i % 2 else 10**6 + i // 4) * 8) for i in range(200)]
+    texts = dict(rows)
+    frame = suffix_dedup._prepared(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    numbers = {r.number: r.doc for r in frame.select("doc", suffix_dedup._row_number("doc", "tid").alias("number")).collect()}
+    found = sorted(numbers[r.number] for r in suffix_dedup._repeats(frame, 2).collect())
+    assert found == [i for i in texts if first[texts[i]] < i]
+    assert suffix_dedup._repeats(frame.limit(0), 2).count() == 0
