@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.llm import compression_quality, disclosure, sentencepiece_codec, simhash_pivots, string_tiling
+from flowframe.llm import compression_quality, disclosure, near_copies, sentencepiece_codec, string_tiling
 from flowframe.llm.common import cut, shared_dir, table
 
 
@@ -19,8 +19,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; so do rows without an id."""
-    found = simhash_pivots.near_duplicates(docs)
+    """Of each group of near copies (5-word likeness 0.8) the document with the smallest id stays; so do rows without an id."""
+    found = near_copies.near_copies(docs)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 

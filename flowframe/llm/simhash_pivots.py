@@ -35,19 +35,24 @@ PIVOTS = np.array([random.Random(f"pivot {i}").getrandbits(64) for i in range(16
 _NO_ID = 2**63 - 1
 
 
-def simhash(data: bytes) -> int:
-    """Signed 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> list[int]:
+    """Unsigned hashes of a UTF-8 text's word shingles; a shorter text is one shingle, an empty one none."""
     words = data.lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     sizes = [len(w) + 1 for w in words]
     starts = list(accumulate(sizes, initial=0))
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])]
+    if len(words) < shingle:
+        return [digest(joined, SEED)]
+    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])]
+
+
+def simhash_of(hashes) -> int:
+    """Signed 64-bit fingerprint of shingle hashes."""
+    if not len(hashes):
+        return 0
     count = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = np.array(hashes[i : i + 4096], np.uint64)
@@ -55,6 +60,11 @@ def simhash(data: bytes) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def simhash(data: bytes) -> int:
+    """Signed 64-bit fingerprint of a UTF-8 text."""
+    return simhash_of(shingle_hashes(data))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row; no other column is touched."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
