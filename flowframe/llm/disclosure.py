@@ -5,8 +5,8 @@ them may reveal them: over the whole corpus, every term is counted by the docume
 the documents in which it occurs within WINDOW code points of each protected value. With n documents,
 PMI(term; value) = log2(n df(term, value) / (df(term) df(value))) is what the term tells about the
 value, and IC(value) = log2(n / df(value)) is all there is to tell. A term whose PMI reaches
-REMOVE x IC (and SUPPORT common documents) is removed near that value, from GENERALISE x IC on it is
-replaced by its shape. A term that occurs with the value alone has PMI = IC; a common word has almost 0.
+REMOVE x IC is removed near that value, from GENERALISE x IC on it is replaced by its shape, however few
+documents hold the value. A term that occurs with the value alone has PMI = IC; a common word has almost 0.
 
 Terms are runs of letters and digits, lower-cased, of at least TERM_CHARS characters; counts are kept by
 64-bit hashes of terms and values. All is JVM-side; the counts are pre-aggregated before each shuffle.
@@ -33,7 +33,9 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 WINDOW, TERM_CHARS = 80, 3
-GENERALISE, REMOVE, SUPPORT = 0.75, 0.9, 3
+GENERALISE, REMOVE = 0.75, 0.9
+#: Documents that must hold a value and a term together: one will do, so nothing is cut.
+SUPPORT = 1
 _TERM = r"[\p{L}\p{N}]++"
 _BLOCK = 64
 
@@ -155,7 +157,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(__row, terms) of rows where terms near base spans disclose them: array<struct<start, kind, stop, share>>."""
     near = found.select("__row", F.explode("near").alias("n")).select("__row", "n.entity", F.explode_outer("n.terms").alias("t"))
     near = near.select("__row", "entity", _hash(F.col("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
-    together = near.where("start is not null").select("__row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    together = near.where("start is not null").select("__row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     with_entity = near.select("__row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(_TERM), F.lit(0)))).alias("w"))
     with_term = words.where(F.length("w") >= TERM_CHARS).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("df_term"))

@@ -38,3 +38,15 @@ def test_pipeline_drops_near_copies_with_edits(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect() if r.doc_id is not None} == root
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()}
     assert kept == {None, *root.values()} and 50 < len(kept) < 150
+
+
+def test_terms_beside_values_of_one_and_two_documents_go(spark):
+    from flowframe.llm import disclosure
+
+    rows = [(0, "the owner zanzibar the mail x.y@z.org and the end"), (1, "the owner kilwa the mail p.q@z.org and the end"), (2, "the owner kilwa the mail p.q@z.org and the end")]
+    rows += [(10 + i, f"the quick mail and the owner end number {i} of the day") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = {r.doc_id: r.text for r in disclosure.sanitised(frame).collect()}
+    assert all(texts[i] == "the owner [term] the mail [email] and the end" for i in range(3))
+    assert all(texts[i] == t for i, t in rows[3:])
+    assert {r.doc_id: r.spans.count("term") for r in disclosure.spans(frame).collect() if r.doc_id < 3} == {0: 1, 1: 1, 2: 1}
