@@ -5,7 +5,7 @@ share one of their first n - ceil(LIKENESS n) + 1 shingles (n is a set's size).
 shingles first, by counts in a sample of texts; which texts are sampled changes the cost alone. Within
 a key, pairs go whose sizes forbid the likeness, or whose SimHashes over the same shingles are more than
 BITS_APART apart: a table of distances to pivots discards first, as in simhash_pivots. Sets of likeness
-0.8 differ in 10 bits of 64 as a rule, and in more than 24 about once in a million; sets of under SMALL
+0.8 differ in 10 bits of 64 as a rule, and in more than 24 about three times in a million; sets of under SMALL
 shingles, whose fingerprints vary more, are not judged by bits. Keys with over GROUP texts tie all of
 these together. The components of the candidates are then judged exactly, each by itself, on the sets
 themselves: what has not the likeness is no link.
