@@ -19,6 +19,16 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def words_of_lines(text: Column) -> Column:
+    """java_split at single blanks of every line, all lines in one array, without a step for each line.
+
+    A line of blanks alone has no words, so it goes with its line end; blanks behind a word go; an empty line is one empty word.
+    """
+    some = F.regexp_replace(F.regexp_replace(text, r"\n +(?=\n|\z)", ""), r"\A +\n", "")
+    kept = F.regexp_replace(some, r"(?<=[^ \n]) +(?=\n|\z)", "")
+    return F.when((F.rtrim(some) == "") & (some != ""), F.array().cast("array<string>")).otherwise(F.split(F.translate(kept, "\n", " "), " "))
+
+
 def normalize_url(url: Column) -> Column:
     """Every http://, then every https://, then every www. goes."""
     return reduce(lambda c, part: F.replace(c, F.lit(part), F.lit("")), ("http://", "https://", "www."), url)
@@ -30,6 +40,16 @@ def normalize_url_row(row: Column) -> Column:
     return F.concat_ws(",", normalize_url(fields[0]), fields[1], fields[2])
 
 
+def normalize_tagged(row: Column, field: str) -> Column:
+    """The row of a tagged pair with that field normalised in place, whatever else it holds."""
+    return row.withField(field, normalize_url(row[field]))
+
+
+def tuple_text(*columns: str) -> Column:
+    """A row as the text of a tuple: (a,b); nulls read null."""
+    return F.concat(F.lit("("), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), F.lit(")"))
+
+
 def java_hash(text: Column) -> Column:
     """The JVM's 32-bit string hash, for characters of the basic plane."""
     h = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda a, c: F.pmod(a * 31 + F.ascii(c), F.lit(4294967296)))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks import write_pairs
+
 
 def map_aggregate(frame: DataFrame, key: Column, value: Column, reduce: Callable[[Column], Column], name: str = "value") -> DataFrame:
     """(key, name) with a native aggregate, combined before the shuffle."""
@@ -49,3 +51,9 @@ def map_reduce(
     if reducers:
         pairs = pairs.repartition(reducers, "key")
     return pairs.groupBy("key").applyInPandas(reduced, result_schema)
+
+
+def job(frame: DataFrame, path: str, mapper, reducer, pair_schema: str, result_schema: str, kind: str = "parquet", **steps) -> DataFrame:
+    """A whole job: map, sort and merge by key, reduce, output committed in any format Spark writes; read back."""
+    write_pairs(map_reduce(frame, mapper, reducer, pair_schema, result_schema, **steps), kind, path)
+    return frame.sparkSession.read.schema(result_schema).format(kind).load(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import with_position
+from .order import RANGE, _starts, ranged, with_position
 from .partition import range_port
 
+_SPAN = 4294967296
+
 
 def sample_tee(frame: DataFrame, amount: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """All rows, and a Bernoulli sample of them."""
@@ -16,20 +18,28 @@ def sample_tee(frame: DataFrame, amount: float, seed: int = 42) -> tuple[DataFra
     return frame, frame.where(F.lit(False)) if amount <= 0 else frame.sample(False, amount, seed)
 
 
-def sample_by_key(frame: DataFrame, key: str, amount: float) -> DataFrame:
-    """A sample that any engine repeats: multiplicative hash of an integer key below the share."""
-    return frame.where((F.col(key) * F.lit(2654435761)) % F.lit(4294967296) < F.lit(int(amount * 4294967296)))
+def sample_by_key(frame: DataFrame, key: str, amount: float, seed: int = 0) -> DataFrame:
+    """A sample that any engine repeats: a multiplicative hash of an integer key and the seed, below the share."""
+    return frame.where(F.pmod((F.col(key) + F.lit(seed)) * F.lit(2654435761), F.lit(_SPAN)) < F.lit(int(amount * _SPAN)))
 
 
 def range_bounds(frame: DataFrame, column: str, ranges: int) -> list:
-    """Values at floor(N k / ranges), k = 1 .. ranges - 1, of the sorted column; fewer rows than that: none."""
-    total = frame.count()
+    """Values at floor(N k / ranges), k = 1 .. ranges - 1, of the sorted column; fewer rows than that: none.
+
+    Equal values are counted before anything is sorted, so a frequent value is one row.
+    """
+    counted = frame.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = ranged(counted, ["v"])
+    sizes = [(r[RANGE], r["n"]) for r in dealt.groupBy(RANGE).agg(F.sum("n").alias("n")).collect()]
+    total = sum(n for _, n in sizes)
     if total < ranges - 1:
         return []
     wanted = [total * k // ranges for k in range(1, ranges)]
-    numbered = with_position(frame.select(column), [column], "__pos", first=0)
-    at = {r["__pos"]: r[column] for r in numbered.where(F.col("__pos").isin(wanted)).collect()}
-    return [at[i] for i in wanted]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("__inside", before).join(_starts(sizes, frame.sparkSession), RANGE).select("v", "n", (F.col("__inside") + F.col("__start")).alias("at"))
+    hit = F.filter(F.array(*[F.lit(w).cast("bigint") for w in wanted]), lambda w: (w >= F.col("at")) & (w < F.col("at") + F.col("n"))) if wanted else F.array().cast("array<bigint>")
+    found = {r["i"]: r["v"] for r in placed.select("v", F.explode(hit).alias("i")).collect()}
+    return [found[i] for i in wanted]
 
 
 def approximate_bounds(frame: DataFrame, column: str, ranges: int, accuracy: int = 10_000) -> list:
@@ -38,8 +48,14 @@ def approximate_bounds(frame: DataFrame, column: str, ranges: int, accuracy: int
 
 
 def sample_sort(frame: DataFrame, column: str, ties: list[str], ranges: int) -> DataFrame:
-    """port and position inside it: the total order in equally full ranges."""
-    from pyspark.sql import Window
-
-    dealt = range_port(frame, column, range_bounds(frame, column, ranges))
-    return dealt.withColumn("pos", F.row_number().over(Window.partitionBy("port").orderBy(column, *ties)).cast("bigint"))
+    """port and position inside it: the total order in equally full ports.
+
+    Rows are numbered in as many tasks as the session has shuffle partitions, however few ports there are; a port's
+    positions start where the ports before it end.
+    """
+    bounds = range_bounds(frame, column, ranges)
+    dealt = range_port(frame, column, bounds)
+    sizes = {r["port"]: r["n"] for r in dealt.groupBy("port").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start: Column = F.array(*[F.lit(sum(n for q, n in sizes.items() if q < p)).cast("bigint") for p in range(len(bounds) + 1)])
+    numbered = range_port(with_position(frame, [column, *ties], "__pos"), column, bounds)
+    return numbered.withColumn("pos", F.col("__pos") - F.element_at(start, F.col("port") + 1)).drop("__pos")

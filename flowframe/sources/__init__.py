@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import java_split
-from ..functions import lines as lines_of
+from ..functions import java_split, words_of_lines
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,14 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value: one line; files are split among tasks by Spark."""
-    return spark.read.text(path)
+    """value: one line; files are split among tasks by Spark. Lines end at a newline."""
+    return spark.read.option("lineSep", "\n").text(path)
 
 
 def words_of(texts: DataFrame, column: str = "value") -> DataFrame:
     """word: each line of the text column, cut at single spaces."""
-    per_line = texts.select(F.explode(lines_of(F.col(column))).alias("line"))
-    return per_line.select(F.explode(java_split(F.col("line"), " ")).alias("word"))
+    return texts.select(F.explode(words_of_lines(F.col(column))).alias("word"))
 
 
 def word_file(spark: SparkSession, path: str | list[str]) -> DataFrame:

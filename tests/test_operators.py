@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowframe import sinks, sources
-from flowframe.functions import bucket_of, java_hash, java_split, normalize_url, normalize_url_row
+from flowframe.functions import bucket_of, java_hash, java_split, normalize_tagged, normalize_url, normalize_url_row, words_of_lines
 from flowframe.operators import grouping, joins, mapreduce, order, partition, rows, sampling
 from flowframe.plans import node, source
-from flowframe.streaming import run_to_end, streamed_distinct, streamed_word_count
+from flowframe.streaming import parquet_stream, run_to_end, streamed_distinct, streamed_limit, streamed_runs, streamed_scatter, streamed_word_count, text_stream, windowed_counts
 
 
 def got(frame):
@@ -19,6 +19,18 @@ def test_java_split(spark):
     assert [r[0] for r in frame.select(java_split(F.col("s"), " ")).collect()] == [[""], [], ["a", "b"], ["a", "", "b"], ["", "a"]]
 
 
+def test_words_of_lines_equal_the_split_of_every_line(spark):
+    random.seed(1)
+    texts = ["".join(random.choice("ab  \n") for _ in range(random.randrange(12))) for _ in range(800)] + ["", " ", "\n", " \n", "\n ", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    whole = {r.i: r.w for r in frame.select("i", words_of_lines(F.col("s")).alias("w")).collect()}
+    for i, text in enumerate(texts):
+        expected = None
+        if text is not None:
+            expected = [w for line in text.split("\n") for w in ([""] if line == "" else line.rstrip(" ").split(" ") if line.strip(" ") else [])]
+        assert whole[i] == expected, repr(text)
+
+
 def test_word_count_of_lines(spark):
     words = sources.words_of(spark.createDataFrame([("a b a\nb\n",)], "value string"))
     assert got(grouping.word_count(words)) == [("", 1), ("a", 2), ("b", 2)]
@@ -63,10 +75,23 @@ def test_positions_are_a_sorted_permutation(spark):
     assert [(r.v, r.i) for r in sorted(numbered, key=lambda r: r.pos)] == sorted(values)
 
 
+def test_positions_of_a_frequent_value_fill_several_ranges(spark):
+    """A third of the rows share the sort key; equal rows and nulls have positions too."""
+    rows_ = [(None if i % 50 == 0 else 7 if i % 3 == 0 else i, i % 1500) for i in range(3000)]
+    frame = spark.createDataFrame(rows_, "v int, i int")
+    numbered = order.with_position(frame, ["v"]).collect()
+    key = lambda v: (v is not None, v or 0)
+    assert sorted(r.pos for r in numbered) == list(range(1, 3001))
+    assert [r.v for r in sorted(numbered, key=lambda r: r.pos)] == sorted((v for v, _ in rows_), key=key)
+    dealt = order.ranged(frame, ["v"], 12).where("v = 7").select(order.RANGE).distinct().count()
+    assert dealt > 1 and order.with_position(frame.limit(0), ["v"]).count() == 0
+
+
 def test_urls(spark):
     frame = spark.createDataFrame([("http://www.a.com/x,u,t",), ("http://a.com/?r=https://www.b.com,u,t",), ("a.com,u,t,extra",)], "s string")
     assert [r[0] for r in frame.select(normalize_url_row(F.col("s"))).collect()] == ["a.com/x,u,t", "a.com/?r=b.com,u,t", "a.com,u,t"]
     assert frame.select(normalize_url(F.col("s"))).first()[0] == "a.com/x,u,t"
+    assert rows.tag(frame, 3).select("tag", normalize_tagged(F.col("row"), "s").alias("row")).first()[1].s == "a.com/x,u,t"
 
 
 def test_hash_ports(spark):
@@ -100,6 +125,15 @@ def test_limits_and_distinct(spark):
     assert got(order.merge_sorted([frame, frame], "v")) == sorted(got(frame) * 2)
 
 
+def test_instances(spark):
+    """Nulls equal nulls inside an instance; functions that give no port, or have no key, mean port 0."""
+    frame = spark.createDataFrame([(1, None), (1, None), (2, "a"), (2, "a"), (3, None)], "v int, s string").coalesce(1)
+    assert sorted(grouping.distinct_per_partition(frame).collect(), key=str) == sorted(frame.distinct().collect(), key=str)
+    keys = spark.createDataFrame([(k,) for k in ("b", "aaaa", None, "none", "aaaa")], "k string")
+    dealt = partition.custom_partition(keys, lambda k: None if k == "none" else -len(k), "k", 3)
+    assert sorted((r.k or "", r.port, r.at) for r in dealt.withColumn("at", F.spark_partition_id()).collect()) == [("", 0, 0), ("aaaa", 1, 1), ("aaaa", 1, 1), ("b", 1, 1), ("none", 0, 0)]
+
+
 def test_sample_tee(spark):
     frame = spark.range(1000)
     every, some = sampling.sample_tee(frame, 1.0)
@@ -107,6 +141,13 @@ def test_sample_tee(spark):
     assert 40 < sampling.sample_tee(frame, 0.1)[1].count() < 180
 
 
+def test_seeded_samples(spark):
+    frame = spark.range(20000).select(F.col("id").alias("k"))
+    sizes = [sampling.sample_by_key(frame, "k", 0.3, seed).count() for seed in (0, 7, 11)]
+    assert all(5700 < n < 6300 for n in sizes)
+    assert sampling.sample_by_key(frame, "k", 0.0).count() == 0 and sampling.sample_by_key(frame, "k", 1.0).count() == 20000
+
+
 def test_map_reduce(spark):
     frame = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
     found = mapreduce.map_reduce(frame, lambda r: [(r["k"], r["v"])], lambda k, vs: [(k, sum(vs))], "key string, value bigint", "key string, total bigint")
@@ -153,3 +194,32 @@ def test_streams(spark, tmp_path):
     assert got(spark.table("counted")) == [("a", 2), ("b", 2)]
     run_to_end(streamed_distinct(sources.words_of(lines), ["word"]), "distinct_words", "append", str(tmp_path / "c2"))
     assert got(spark.table("distinct_words")) == [("a",), ("b",)]
+
+
+def test_streams_of_files_and_windows(spark, tmp_path):
+    frame = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id % 3) ts, id % 2 k FROM range(12)")
+    frame.write.parquet(str(tmp_path / "p"))
+    counted = windowed_counts(parquet_stream(spark, str(tmp_path / "p"), frame.schema, 1), "ts", "1 minute", "k", "0 seconds")
+    run_to_end(counted, "windowed", "complete", str(tmp_path / "c1"))
+    assert sorted((r.window.start.minute, r.k, r.n) for r in spark.table("windowed").collect()) == [(m, k, 2) for m in range(3) for k in range(2)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("".join(f"{i}\n" for i in range(20)))
+    run_to_end(streamed_limit(text_stream(spark, str(tmp_path / "t")), 7), "limited", "append", str(tmp_path / "c2"))
+    assert spark.table("limited").count() == 7
+
+
+def test_streams_with_state(spark, tmp_path):
+    """Counters and open runs live on from one file, and so one batch, to the next."""
+    keys = list("aabbbcaaab") + [None, None, "a"]
+    for part in range(3):
+        rows_ = [(f"s{j}", i, k) for j in range(2) for i, k in enumerate(keys) if i * 3 // len(keys) == part]
+        spark.createDataFrame(rows_, "b string, i int, k string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: parquet_stream(spark, str(tmp_path / "in"), "b string, i int, k string", 1)
+    run_to_end(streamed_scatter(stream(), "b", "i", 4), "scattered", "append", str(tmp_path / "c1"))
+    found = spark.table("scattered").collect()
+    assert len(found) == 2 * len(keys) and all(sorted(r.port for r in found if r.b == b) == sorted(i % 4 for i in range(len(keys))) for b in ("s0", "s1"))
+    run_to_end(streamed_runs(stream(), "b", "k", "i"), "runs", "update", str(tmp_path / "c2"))
+    last = {}
+    for r in spark.table("runs").collect():
+        last[r.by, r.g] = max(last.get((r.by, r.g), (r.k, 0)), (r.k, r.n), key=lambda x: x[1])
+    assert last == {(b, g): run for b in ("s0", "s1") for g, run in enumerate([("a", 2), ("b", 3), ("c", 1), ("a", 3), ("b", 1), (None, 2), ("a", 1)], 1)}
