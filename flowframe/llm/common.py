@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: made once, read as often as wanted, and there when an executor is lost."""
+    path = f"{shared_dir(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,6 +50,36 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key() -> Column:
+    """A number that a second reading of a row (doc_id, text) repeats; rows equal in both share it, rows without an id have it too."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text"))
+
+
+def bit_filter(keys: DataFrame, column: str, bits: tuple[int, int]) -> bytes:
+    """Which keys (bigint, evenly spread) there may be, by their last bits: about eight bits a key, between 2^least and 2^most in all.
+
+    Beyond 2^most bits more keys pass by chance. Marked in parts of the table; the driver puts these side by side.
+    """
+    wanted = (8 * keys.count()).bit_length()
+    size = min(max(wanted, bits[0]), bits[1])
+    width = 1 << (size - 12)  # rows of 2^12 bits
+
+    def run(batches):
+        marks = np.zeros((width, 1 << 9), np.uint8)
+        for batch in batches:
+            s = batch.column("slot").to_numpy()
+            np.bitwise_or.at(marks.reshape(-1), s >> 3, (1 << (s & 7)).astype(np.uint8))
+        for i in np.flatnonzero(marks.any(1)).tolist():
+            yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "bits": pa.array([marks[i].tobytes()], pa.binary())})
+
+    partitions = min(32, shuffle_partitions(keys.sparkSession))
+    spread = keys.select(F.col(column).bitwiseAND((1 << size) - 1).alias("slot")).distinct().repartitionByRange(partitions, "slot")
+    out = np.zeros((width, 1 << 9), np.uint8)
+    for r in spread.mapInArrow(run, "row int, bits binary").toLocalIterator():
+        out[r["row"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
 def by_bytes(texts: list, limit: int):
     """Slices (start, stop) of a list of strings or bytes with about `limit` units each; a longer text stands alone."""
     start, held = 0, 0
@@ -50,3 +90,11 @@ def by_bytes(texts: list, limit: int):
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, lengthened by underscores until no column of the frame has it (in any case of letters)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

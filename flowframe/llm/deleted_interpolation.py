@@ -1,19 +1,22 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word n-grams.
 
-P(w | h) = l2(b) f(k(w) | k(h)) f(w | k(w)) + l1(b) f(w) + l0(b) / (V + 1): maximum-likelihood estimates of a
-class bigram (k is a word's class, by its last three bytes), of the word alone, and one share for all
-unknown words, mixed by the bucket b of the context's frequency. The weights are learned by
-expectation-maximisation on held-out counts: one seventh of the training documents (remainder EM_FOLD)
-is deleted from the counts, and its tokens, binned, are the events.
+P(w | h) = l2(b) c(h w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1): maximum-likelihood estimates of the word
+bigram and of the word, and an equal share for each of the V known words and for what is unknown, mixed by the
+bucket b of the context's frequency c(h) (0, then one bucket an octave). The weights are learned by
+expectation-maximisation on held-out counts: one seventh of the training documents (remainder EM_FOLD) is
+deleted from the counts, and its tokens, with the counts of the others, are the events. Over a vocabulary and
+the unknown word the probabilities of any context sum to one: in bucket 0 l2 is zero.
 
-Word classes keep the bigram tables at CLASSES x CLASSES whatever the corpus, so these can be sent to
-all executors. Word counts are a table that grows with the corpus: of it only the HEAD most frequent words
-are sent, the others' events meet their counts in a shuffle join. The probability is linear in the
-word's count, so such an event carries two coefficients and no context.
+All words and bigrams are counted, none is dropped or binned. Documents are packed into slices, rows of some
+MB of compressed text, and written once. A slice asks for its distinct words and bigrams (64-bit hashes, sorted,
+dealt to ranges); each range adds up what its slices hold, and answers every slice with the counts in the order
+asked, so that no hash travels back and a slice's tokens never do. A frequent word is one entry a slice. The
+events of the EM are grouped by their exact counts in a written table, and each step is one aggregation of it.
 
 Defined results: null and empty texts are one end token; rows with a null doc_id teach nothing and are
 not held out; repeated rows count as often as they occur and get equal scores; without training tokens
-every probability is 1 / (V + 1) = 1.
+every weight is on the unknown, whose probability is 1 / (V + 1) = 1, so every score is 0; without events
+(no document in the EM's part) every estimate that a context has weighs the same.
 """
 
 from __future__ import annotations
@@ -21,211 +24,278 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, table, text_or_empty
+from .common import by_bytes, shuffle_partitions, table, text_or_empty, written
 
-CLASSES, HEAD, BUCKETS, RATIO_BINS = 1024, 1 << 17, 48, 96
+BUCKETS, STEPS, CLOSE = 48, 40, 1e-5
 FOLDS, TEST_FOLD, EM_FOLD = 7, 2, 3
-_SLICE = 2_000_000
-_END = xxhash.xxh64_intdigest(b"end of text ", 7)
-_WIDTH = CLASSES + 1
-
-
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes (signed), classes, context classes and texts' numbers of all tokens, ends among them."""
-    words = [t.lower().split() for t in texts]
-    count = np.array([len(w) + 1 for w in words])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([h for ws in words for h in (*map(digest, ws), _END)], np.uint64).view(np.int64)
-    # last three bytes of each word: a number, then a class
-    tails = b"".join([(b"\0\0" + w)[-3:] for ws in words for w in (*ws, b"\0\0\0")])
-    b3 = np.frombuffer(tails, np.uint8).reshape(-1, 3).astype(np.uint32)
-    packed = (b3[:, 0] << np.uint32(16)) | (b3[:, 1] << np.uint32(8)) | b3[:, 2]
-    kinds = ((packed * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int32)
-    ends = np.cumsum(count) - 1
-    kinds[ends] = CLASSES
-    context = np.empty_like(kinds)
-    context[1:] = kinds[:-1]
-    context[ends - count + 1] = CLASSES  # the start
-    return hashes, kinds, context, np.repeat(np.arange(len(texts)), count)
-
-
-def _prepared(docs: DataFrame) -> DataFrame:
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1)).cast("int")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold.alias("fold"), text_or_empty().cast("binary").alias("data"))
-
-
-def _grouped(keys: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how often each occurs, and how often among the deleted."""
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, minlength=len(found)), np.bincount(at, deleted, minlength=len(found)).astype(np.int64)
+#: Bytes of text: of a slice, of one piece of tokens inside it, and of what one range of keys answers for.
+SLICE, PIECE, RANGE = 8_000_000, 1_000_000, 48_000_000
+TRAIN, DELETED, TEST, NO_ID = range(4)
+_END, _START = (xxhash.xxh64_intdigest(x, 7) for x in (b"end of text ", b"start of text "))
+_U = np.uint64
+
+
+def _shut(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, lowest bytes first, compressed: what small numbers leave empty costs nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+class Tokens:
+    """All tokens of some texts, ends among them, under the keys of their words and bigrams.
+
+    keys: sorted, distinct; the last bit is 0 for words, 1 for bigrams. times: how often each occurs. word, pair,
+    context: for each token the places in keys of its word, its bigram and the word before it (of a text's first
+    token the end, which is as frequent as the start). owner: the token's text.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
+        for a, b in by_bytes(texts, PIECE):
+            words = [t.lower().split() for t in texts[a:b]]
+            sizes += [len(w) + 1 for w in words]
+            hashes.append(np.array([h for ws in words for h in (*map(digest, ws), _END)], _U))
+        size = np.array(sizes, np.int64)
+        word = np.concatenate(hashes) if hashes else np.zeros(0, _U)
+        first = np.cumsum(size) - size
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[first] = _START
+        with np.errstate(over="ignore"):
+            pair = (before * _U(0x9E3779B97F4A7C15) + (word ^ (word >> _U(31)))) * _U(0xD6E8FEB86659FD93)
+            pair ^= pair >> _U(32)
+        both = np.concatenate([word & ~_U(1), pair | _U(1)])
+        self.keys, place, self.times = np.unique(both, return_inverse=True, return_counts=True)
+        self.word, self.pair = place[: len(word)], place[len(word) :]
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        if len(word):
+            self.context[first] = self.word[size[0] - 1]  # every text has an end
+        self.size, self.owner = size, np.repeat(np.arange(len(texts)), size)
+
+
+def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Three columns: the maximum-likelihood estimates from counts, and the share of every word, known or not."""
+    return np.stack([pair / np.maximum(context, 1), word / max(n, 1), np.full(len(word), 1 / (v + 1))], 1)
+
+
+def bucket_of(context: np.ndarray) -> np.ndarray:
+    """0 for contexts never seen, then one bucket an octave."""
+    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(slice, role, ids, bytes, texts): rows of documents of one role. Written: a slice is the same whenever it is read."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(-1))
+    role = F.when(fold == -1, NO_ID).when(fold == TEST_FOLD, TEST).when(fold == EM_FOLD, DELETED).otherwise(TRAIN)
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("bigint").alias("doc_id"), role.cast("int").alias("role"), text_or_empty().cast("binary").alias("data"))
 
+    def run(batches):
+        held = {r: ([], [], []) for r in range(4)}
+        size = [0] * 4
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n, n_deleted): kind 0 words by hash, kind 1 class pairs. Checkpointed."""
+        def close(r: int) -> pa.RecordBatch:
+            numbers, ids, texts = held[r]
+            held[r], size[r] = ([], [], []), 0
+            lengths = np.array([len(t) for t in texts], np.int64)
+            blob = zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(texts))
+            return pa.RecordBatch.from_pydict({"slice": pa.array([numbers[0]], pa.int64()), "role": pa.array([r], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "bytes": pa.array([int(lengths.sum())], pa.int64()), "texts": pa.array([blob], pa.binary())})
 
-    def run(batches):
-        pairs = np.zeros((2, _WIDTH * _WIDTH), np.int64)
         for batch in batches:
-            folds, data = batch.column("fold").to_numpy(), batch.column("data").to_pylist()
-            keep = np.flatnonzero((folds != TEST_FOLD) & (folds >= 0))
-            folds, data = folds[keep], [data[i] for i in keep]
-            for a, b in by_bytes(data, _SLICE):
-                hashes, kinds, context, owner = _tokens(data[a:b])
-                deleted = folds[a:b][owner] == EM_FOLD
-                joint = context.astype(np.int64) * _WIDTH + kinds
-                pairs[0] += np.bincount(joint, minlength=pairs.shape[1])
-                pairs[1] += np.bincount(joint[deleted], minlength=pairs.shape[1])
-                yield rows(0, *_grouped(hashes, deleted))
-        used = np.flatnonzero(pairs[0])
-        yield rows(1, used, pairs[0][used], pairs[1][used])
+            for number, doc_id, r, text in zip(*(batch.column(c).to_pylist() for c in ("number", "doc_id", "role", "data"))):
+                if held[r][0] and size[r] + len(text) > SLICE:
+                    yield close(r)
+                for x, value in zip(held[r], (number, doc_id, text)):
+                    x.append(value)
+                size[r] += len(text) + 8
+        for r in range(4):
+            if held[r][0]:
+                yield close(r)
 
-    def rows(kind: int, key, n, n_deleted) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64()), "n_deleted": pa.array(n_deleted, pa.int64())})
+    return written(rows.mapInArrow(run, "slice bigint, role int, ids array<bigint>, bytes bigint, texts binary"))
 
-    raw = _prepared(docs).mapInArrow(run, "kind int, key bigint, n bigint, n_deleted bigint")
-    return cut(raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_deleted").alias("n_deleted")))
 
+def _texts(blob: bytes, n: int) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    stop = np.cumsum(np.frombuffer(data, np.int64, n)) + 8 * n
+    return [data[a:b] for a, b in zip([8 * n, *stop.tolist()], stop.tolist())]
 
-class Classes:
-    """Class bigrams from a dense table of pair counts."""
 
-    def __init__(self, pairs: np.ndarray):
-        self.pairs = pairs.reshape(_WIDTH, _WIDTH)
-        self.context = self.pairs.sum(1)
-        self.kind = self.pairs.sum(0)
-        self.bucket = np.minimum(np.ceil(np.log2(self.context + 1)), BUCKETS - 1).astype(np.int64)
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range's keys start among sorted keys, and the end."""
+    of = ((keys >> _U(32)) * _U(ranges)) >> _U(32)
+    return np.searchsorted(of, np.arange(ranges + 1, dtype=_U))
 
-    def given(self, context: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """f(class | context class) / n(class): times a word's count it is the bigram estimate."""
-        return self.pairs[context, kinds] / np.maximum(self.context[context], 1) / np.maximum(self.kind[kinds], 1)
 
+_ANSWER = "slice bigint, role int, place int, counts binary, rest binary, n bigint, v bigint, n_left bigint, v_left bigint"
 
-def _binned(ratio: np.ndarray) -> np.ndarray:
-    """Four bins an octave around a ratio of one; bin 0 is zero."""
-    with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.clip(np.round(4 * np.log2(np.maximum(ratio, 1e-30))) + RATIO_BINS // 2, 1, RATIO_BINS - 1), 0).astype(np.int64)
 
+def counts(slices: DataFrame, ranges: int) -> DataFrame:
+    """Answers to every slice: counts of its keys of one range, and for a deleted slice what is left of them without the deleted ones.
 
-def weights(docs: DataFrame, words: DataFrame, classes: Classes, n: int, v: int) -> np.ndarray:
-    """BUCKETS x 3 mixture weights. classes, n and v are those without the deleted part."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(classes)
+    A range also states its share of N and V, and of both without what is deleted, in a row without a slice. Written.
+    """
 
-    def run(batches):
+    def ask(batches):
         for batch in batches:
-            folds, data = batch.column("fold").to_numpy(), batch.column("data").to_pylist()
-            data = [data[i] for i in np.flatnonzero(folds == EM_FOLD)]
-            for a, b in by_bytes(data, _SLICE):
-                hashes, kinds, context, _ = _tokens(data[a:b])
-                cell = sent.value.bucket[context] * RATIO_BINS + _binned(sent.value.given(context, kinds) * max(n, 1))
-                order = np.lexsort((cell, hashes))
-                hashes, cell = hashes[order], cell[order]
-                first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (cell[1:] != cell[:-1])]))
-                times = np.diff(np.append(first, len(hashes)))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(hashes[first], pa.int64()), "cell": pa.array(cell[first], pa.int64()), "times": pa.array(times, pa.int64())})
-
-    events = _prepared(docs).where(F.col("fold") == EM_FOLD).mapInArrow(run, "key bigint, cell bigint, times bigint")
-    events = events.groupBy("key", "cell").agg(F.sum("times").alias("times"))
-    left = F.col("n") - F.col("n_deleted")
-    level = F.when(left < 16, left).otherwise(F.round(4 * F.log2(left)).cast("bigint"))  # exact, then four bins an octave
-    met = events.join(words, "key").groupBy("cell", level.alias("level")).agg(F.sum("times").alias("times"))
-    found = np.array([tuple(r) for r in met.collect()], np.float64).reshape(-1, 3)  # BUCKETS x RATIO_BINS x about 200 at most
-    cell, level, times = found[:, 0].astype(np.int64), found[:, 1], found[:, 2]
-    count = np.where(level < 16, level, 2 ** (level / 4))
-    bucket, ratio_bin = cell // RATIO_BINS, cell % RATIO_BINS
-    ratio = np.where(ratio_bin > 0, 2.0 ** ((ratio_bin - RATIO_BINS // 2) / 4), 0.0)
-    single = count / max(n, 1)
-    estimates = np.stack([single * ratio, single, np.where(count == 0, 1 / (v + 1), 0.0)], 1)
+            for number, role, ids, blob in zip(*(batch.column(c) for c in ("slice", "role", "ids", "texts"))):
+                tokens = Tokens(_texts(blob.as_py(), len(ids)))
+                at = _ranges(tokens.keys, ranges)
+                used = np.flatnonzero(np.diff(at)).tolist()
+                steps = [np.diff(tokens.keys[at[i] : at[i + 1]], prepend=_U(0)) for i in used]
+                k = len(used)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "place": pa.array(used, pa.int32()),
+                        "slice": pa.array([number.as_py()] * k, pa.int64()),
+                        "role": pa.array([role.as_py()] * k, pa.int32()),
+                        "keys": pa.array([_shut(x) for x in steps], pa.binary()),
+                        "times": pa.array([_shut(tokens.times[at[i] : at[i + 1]]) for i in used], pa.binary()),
+                    }
+                )
+
+    def answer(group: pa.Table) -> pa.Table:
+        place, numbers, roles = group.column("place")[0].as_py(), group.column("slice"), group.column("role").to_pylist()
+        keys = [np.cumsum(_opened(x.as_py()), dtype=_U) for x in group.column("keys")]
+        stop = np.cumsum([len(x) for x in keys])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        total, deleted = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        for role, times, b in zip(roles, group.column("times"), stop.tolist()):
+            if role in (TRAIN, DELETED):
+                here = _opened(times.as_py()).astype(np.int64)
+                total[at[b - len(here) : b]] += here  # a slice has each key once
+                if role == DELETED:
+                    deleted[at[b - len(here) : b]] += here
+        left, words = total - deleted, (found & _U(1)) == 0
+        own = [at[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist())]
+        sums = [int(x[words].sum()) if i % 2 == 0 else int((x[words] > 0).sum()) for i, x in enumerate((total, total, left, left))]
+        k = len(roles)
+        return pa.table(
+            {
+                "slice": pa.concat_arrays([numbers.combine_chunks(), pa.nulls(1, pa.int64())]),
+                "role": pa.array([*roles, None], pa.int32()),
+                "place": pa.array([place] * (k + 1), pa.int32()),
+                "counts": pa.array([*(_shut(total[x]) for x in own), None], pa.binary()),
+                "rest": pa.array([*(_shut(left[x]) if r == DELETED else None for x, r in zip(own, roles)), None], pa.binary()),
+                **{name: pa.array([None] * k + [x], pa.int64()) for name, x in zip(("n", "v", "n_left", "v_left"), sums)},
+            }
+        )
+
+    asked = slices.mapInArrow(ask, "place int, slice bigint, role int, keys binary, times binary")
+    return written(asked.groupBy("place").applyInArrow(answer, _ANSWER))
+
+
+def _answered(answers: pa.Table, column: str) -> np.ndarray:
+    """A slice's counts in the order of its keys."""
+    order = np.argsort(answers.column("place").to_numpy())
+    every = answers.column(column)
+    return np.concatenate([_opened(every[i].as_py()) for i in order.tolist()]).astype(np.int64)
+
+
+def events(slices: DataFrame, answers: DataFrame) -> DataFrame:
+    """(bucket, pair, context, word, times): deleted tokens by the exact counts of what is left. Written.
+
+    Where the bigram is unknown the context's own count has no part in the estimate, only its bucket has.
+    """
+
+    def run(piece: pa.Table, said: pa.Table) -> pa.Table:
+        parts = []
+        for ids, blob in zip(piece.column("ids"), piece.column("texts")):
+            tokens, c = Tokens(_texts(blob.as_py(), len(ids))), _answered(said, "rest")
+            pair, context, word = c[tokens.pair], c[tokens.context], c[tokens.word]
+            parts.append(np.stack([bucket_of(context), pair, np.where(pair > 0, context, 0), word]))
+        rows = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
+        rows = rows[:, np.lexsort(rows)]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, rows.shape[1]), bool), (rows[:, 1:] != rows[:, :-1]).any(0)]))
+        times = np.diff(np.append(first, rows.shape[1]))
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("bucket", "pair", "context", "word", "times"), (*rows[:, first], times))})
+
+    schema = "bucket bigint, pair bigint, context bigint, word bigint, times bigint"
+    mine = slices.where(F.col("role") == DELETED).groupBy("slice").cogroup(answers.where(F.col("role") == DELETED).groupBy("slice")).applyInArrow(run, schema)
+    return written(mine.groupBy("bucket", "pair", "context", "word").agg(F.sum("times").alias("times")))
+
+
+def weights(found: DataFrame, n: int, v: int) -> np.ndarray:
+    """BUCKETS x 3 mixture weights by expectation-maximisation. n and v are those without the deleted part."""
     mixture = np.full((BUCKETS, 3), 1 / 3)
-    for _ in range(60):
-        part = mixture[bucket] * estimates
-        part *= (times / np.maximum(part.sum(1), 1e-300))[:, None]
+    mixture[0] = 0, 0.5, 0.5
+    if not n:
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    shares = (F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(float(n)), F.lit(1 / (v + 1)))
+    for _ in range(STEPS):
+        held = [F.element_at(F.array(*map(F.lit, mixture[:, i].tolist())), (F.col("bucket") + 1).cast("int")) * x for i, x in enumerate(shares)]
+        parted = found.select("bucket", "times", *[h.alias(f"p{i}") for i, h in enumerate(held)]).withColumn("all", F.col("p0") + F.col("p1") + F.col("p2"))
+        sums = parted.groupBy("bucket").agg(*[F.sum(F.col("times") * F.col(f"p{i}") / F.col("all")).alias(f"s{i}") for i in range(3)]).collect()
         total = np.zeros((BUCKETS, 3))
-        np.add.at(total, bucket, part)
-        everywhere = total.sum(0) + 1e-3
-        total += 3 * everywhere / everywhere.sum()  # buckets with few events lean on the others
-        new = total / total.sum(1, keepdims=True)
-        if np.abs(new - mixture).max() < 1e-6:
+        for r in sums:
+            total[r["bucket"]] = r["s0"], r["s1"], r["s2"]
+        new = mixed(total)
+        moved, mixture = np.abs(new - mixture).max(), new
+        if moved < CLOSE:
             break
-        mixture = new
     return mixture
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    spark = docs.sparkSession
-    every = counts(docs)
-    words = every.where("kind = 0").select("key", "n", "n_deleted")
-    total = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("n") - F.col("n_deleted")), F.sum((F.col("n") > F.col("n_deleted")).cast("bigint"))).first()
-    n, v, n_left, v_left = (int(x or 0) for x in total)
-    table_of = every.where("kind = 1").select("key", "n", "n_deleted").toPandas()  # CLASSES x CLASSES at most
-    pairs = np.zeros((2, _WIDTH * _WIDTH), np.int64)
-    pairs[0, table_of["key"]], pairs[1, table_of["key"]] = table_of["n"], table_of["n"] - table_of["n_deleted"]
-    mixture = weights(docs, words, Classes(pairs[1]), n_left, v_left)
-    # the least count that at most HEAD words reach
-    sizes = words.groupBy(F.floor(8 * F.log2("n")).alias("octave")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, held = None, 0
-    for octave, size in sorted(((r["octave"], r["words"]) for r in sizes), reverse=True):
-        if (held := held + size) > HEAD:
-            break
-        least = octave
-    head = words.where(F.floor(8 * F.log2("n")) >= (least if least is not None else 10**6)).select("key", "n").toPandas().sort_values("key")
-    sent = spark.sparkContext.broadcast((Classes(pairs[0]), mixture, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
-    names = ("kind", "key", "row", "doc_id", "fold", "tokens", "known", "base", "score", "slope", "floor")
-    schema = "kind int, key bigint, row bigint, doc_id bigint, fold int, tokens bigint, known bigint, base double, score double, slope double, floor double"
+def mixed(total: np.ndarray) -> np.ndarray:
+    """Weights from what each estimate has earned in each bucket; buckets with few events lean on the others, by three events' worth."""
+    everywhere = total.sum(0) + 1e-3
+    total = total + 3 * everywhere / everywhere.sum()
+    total[0, 0] = 0.0  # an unknown context has no bigram
+    return total / total.sum(1, keepdims=True)
 
-    def run(batches):
-        classes, mix, keys, n_of = sent.value
-        for batch in batches:
-            ids, folds, numbers = (batch.column(c) for c in ("doc_id", "fold", "row"))
-            numbers, data = numbers.to_numpy(), batch.column("data").to_pylist()
-            for a, b in by_bytes(data, _SLICE):
-                hashes, kinds, context, owner = _tokens(data[a:b])
-                lam = mix[classes.bucket[context]]
-                slope = lam[:, 0] * classes.given(context, kinds) + lam[:, 1] / max(n, 1)
-                unknown = lam[:, 2] / (v + 1)
-                place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                in_head = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                c = n_of[place[in_head]]
-                docs_here, own = b - a, owner[in_head]
-                base = np.bincount(own, np.log10((c + 1) / (n + v + 1)), minlength=docs_here)
-                score = np.bincount(own, np.log10(slope[in_head] * c), minlength=docs_here)
-                tail = np.flatnonzero(~in_head)
-                zeros = np.zeros(docs_here)
-                number = numbers[a:b]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.zeros(docs_here, np.int32), np.ones(len(tail), np.int32)])),
-                        pa.array(np.concatenate([number, hashes[tail]]), pa.int64()),  # rows without a word spread by their number
-                        pa.array(np.concatenate([number, number[owner[tail]]]), pa.int64()),
-                        pa.concat_arrays([ids.slice(a, b - a), pa.nulls(len(tail), pa.int64())]),
-                        pa.concat_arrays([folds.slice(a, b - a), pa.nulls(len(tail), pa.int32())]),
-                        pa.array(np.concatenate([np.bincount(owner, minlength=docs_here), np.zeros(len(tail), np.int64)]), pa.int64()),
-                        pa.array(np.concatenate([np.bincount(own, minlength=docs_here), np.zeros(len(tail), np.int64)]), pa.int64()),
-                        pa.array(np.concatenate([base, np.zeros(len(tail))])),
-                        pa.array(np.concatenate([score, np.zeros(len(tail))])),
-                        pa.array(np.concatenate([zeros, slope[tail]])),
-                        pa.array(np.concatenate([zeros, unknown[tail]])),
-                    ],
-                    names,
+
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_seen_elsewhere bigint"
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_seen_elsewhere) of each row.
+
+    n_seen_elsewhere: tokens whose bigram the training documents have outside this one, too.
+    """
+    slices = packed(docs)
+    whole = slices.agg(F.sum("bytes")).first()[0] or 0
+    answers = counts(slices, max(shuffle_partitions(docs.sparkSession), -(-int(whole) // RANGE)))
+    n, v, n_left, v_left = (int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "v", "n_left", "v_left")]).first())
+    mixture = weights(events(slices, answers), n_left, v_left) if n else weights(slices, 0, 0)
+
+    def run(piece: pa.Table, said: pa.Table) -> pa.Table:
+        out = []
+        for role, ids, blob in zip(piece.column("role").to_pylist(), piece.column("ids"), piece.column("texts")):
+            tokens, c = Tokens(_texts(blob.as_py(), len(ids))), _answered(said, "counts")
+            k, owner = len(ids), tokens.owner
+            word, context, pair = c[tokens.word], c[tokens.context], c[tokens.pair]
+            chance = (mixture[bucket_of(context)] * estimates(pair, context, word, n, v)).sum(1)
+            per = lambda x: np.bincount(owner, x, minlength=k)
+            # of a training document's own bigrams all occurrences but its own are elsewhere
+            at, mine, times = np.unique(owner * len(tokens.keys) + tokens.pair, return_inverse=True, return_counts=True)
+            elsewhere = pair - (times[mine] if role in (TRAIN, DELETED) else 0) > 0
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": pa.array(ids.as_py(), pa.int64()),
+                        "held_out": pa.array([role == TEST] * k, pa.bool_()),
+                        "n_tokens": pa.array(tokens.size, pa.int64()),
+                        "n_known": pa.array(per(word > 0).astype(np.int64)),
+                        "train_tokens": pa.array(np.full(k, n), pa.int64()),
+                        "base_score": pa.array(per(np.log10((word + 1) / (n + v + 1)))),
+                        "score": pa.array(per(np.log10(chance))),
+                        "n_seen_elsewhere": pa.array(per(elsewhere).astype(np.int64)),
+                    }
                 )
+            )
+        return pa.concat_tables(out) if out else _empty
 
-    rows = _prepared(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    met = rows.join(words.select("key", F.col("n").alias("c")), "key", "left")
-    tail, c = F.col("kind") == 1, F.coalesce("c", F.lit(0))
-    chance = F.when(c > 0, F.col("slope") * c).otherwise(F.col("floor"))
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("fold").alias("fold"),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(tail & (c > 0), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(tail, F.log10((c + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(tail, F.log10(chance)).otherwise(0.0)).alias("score"),
-    )
-    return summed.select("doc_id", (F.col("fold") == TEST_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    _empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64()), ("n_seen_elsewhere", pa.int64())]).empty_table()
+    return slices.groupBy("slice").cogroup(answers.where("slice is not null").groupBy("slice")).applyInArrow(run, _SCORED)
 
 
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
