@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm import compression_quality, disclosure, near_copies, sentencepiece_codec, string_tiling
-from flowframe.llm.common import cut, shared_dir, table
+from flowframe.llm.common import cut, free_name, row_key, shared_dir, table, written
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs less those whose `row_key` is among rows."""
+    name = free_name(docs, "__row")
+    gone = written(rows.toDF("__gone").distinct())
+    return docs.withColumn(name, row_key()).join(gone, F.col(name) == F.col("__gone"), "left_anti").drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = compression_quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = compression_quality.score(docs, model)
-    return scored.where(F.col("quality_score") >= compression_quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(compression_quality.score_name(docs)) >= compression_quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = string_tiling.matches(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Documents that hold a benchmark item go, whether they have an id or not."""
+    found = string_tiling.matched_rows(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("row"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
