@@ -55,6 +55,15 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text"))
 
 
+SALT = 16
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of many left rows with the one right row of their key; rows of a frequent key are dealt to SALT parts by another column."""
+    few = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(few, [key, "__salt"]).drop("__salt")
+
+
 def bit_filter(keys: DataFrame, column: str, bits: tuple[int, int]) -> bytes:
     """Which keys (bigint, evenly spread) there may be, by their last bits: about eight bits a key, between 2^least and 2^most in all.
 

@@ -10,8 +10,9 @@ shingles, whose fingerprints vary more, are not judged by bits. Keys with over G
 these together. The components of the candidates are then judged exactly, each by itself, on the sets
 themselves: what has not the likeness is no link.
 
-Defined results: equal texts are one node; null and empty texts are equal; rows that share a doc_id are
-one document; a row without doc_id gets the component of its group, null if nobody in it has an id.
+Defined results: equal texts are one node; null and empty texts are equal; rows that share a doc_id but not
+the text are judged apart; a row without doc_id gets the component of its group, null if nobody in it has an id,
+and stays only if nobody has.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, text_or_empty
+from .common import row_key, salted, shuffle_partitions, text_or_empty, written
 from .components import components
 from .simhash_pivots import PIVOTS, shingle_hashes, simhash_of
 
@@ -168,7 +169,10 @@ def _verified(shingle: int, likeness: float):
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS, bits: int = BITS_APART) -> DataFrame:
-    """(doc_id, component_id) for each row of docs: the smallest doc_id among its near copies."""
+    """(row, doc_id, component_id, stays) for each row of docs: the smallest doc_id among its near copies, and whether it is the one that stays.
+
+    row: `common.row_key`; rows that share it are one document.
+    """
     partitions = shuffle_partitions(docs.sparkSession)
     text = text_or_empty().cast("binary")
     slim = docs.select(F.xxhash64(text).alias("node"), text.alias("data"))
@@ -202,10 +206,14 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKEN
     keyed = slim.mapInArrow(keys, "key bigint, node bigint, fp bigint, size bigint")
     keyed = keyed.repartition(partitions, "key").sortWithinPartitions("key", "node")
     roots = components(keyed.mapInArrow(_candidates(likeness, bits), "u bigint, v bigint"))
-    members = cut(roots.select(F.col("u").alias("member"), "root").unionAll(roots.select(F.col("root").alias("member"), "root").distinct()))
+    members = written(roots.select(F.col("u").alias("member"), "root").unionAll(roots.select(F.col("root").alias("member"), "root").distinct()))
     texts = slim.join(members, F.col("node") == F.col("member")).select("root", "node", "data").dropDuplicates(["node"])
-    groups = cut(texts.repartition(partitions, "root").sortWithinPartitions("root").mapInArrow(_verified(shingle, likeness), "node bigint, group bigint"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node"))
-    rows = cut(rows.join(groups, "node", "left").select("doc_id", F.coalesce("group", "node").alias("group")))
-    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "group").select("doc_id", "component_id")
+    groups = written(texts.repartition(partitions, "root").sortWithinPartitions("root").mapInArrow(_verified(shingle, likeness), "node bigint, group bigint"))
+    # equal texts are put together first, then groups; of a group the row with the least id stays, rows without one come last
+    rows = written(docs.select(row_key().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    nodes = rows.groupBy("node").agg(first).join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"), "first")
+    nodes = written(nodes)
+    best = nodes.groupBy("group").agg(F.min("first").alias("best"))
+    of_node = salted(nodes, best, "group", "node").select("node", "best")
+    return salted(rows, of_node, "node", "row").select("row", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("stays"))

@@ -1,18 +1,18 @@
 """SimHash near-duplicates: pivot distance tables discard pairs, survivors are verified.
 
-Candidates meet under keys that lose no link: of four 16-bit blocks two are equal whenever two
-fingerprints differ in at most two bits, so each distinct fingerprint goes to six 32-bit keys. (Pivot
-distances alone are too coarse for an equi-join: two unrelated fingerprints are within 2 of each other
-on a given pivot about a third of the time.) Within a key, a table of Hamming distances to PIVOTS
-reference fingerprints discards every pair with a coordinate difference over 2, as the triangle
-inequality allows, and only the others are compared bit by bit. A key yields a spanning forest of its
-links, not all pairs. Keys with over GROUP fingerprints are linked exactly without any pairs: two
-fingerprints are within two bits if and only if some value is within one bit of both, so each emits
-itself and its 64 neighbours, and all that share a value are tied to the least of them.
+Distinct fingerprints are dealt to groups of about GROUP / 4. Two fingerprints that differ in two bits at most
+have one of three blocks of bits in common, so each goes to three groups, one for each block, by as many of its
+bits as make groups of that size. Inside a group everything is the pivots': a table of Hamming distances to
+PIVOTS reference fingerprints, sorted by the first of them, discards each pair with a coordinate difference over
+2, as the triangle inequality allows, pivot by pivot, and what is left is compared bit by bit. A group yields
+links that span its components, not all pairs. A group of over GROUP fingerprints is dealt again in the same way
+by the bits that were not used yet, until none is (2^12 different fingerprints need 12 bits), so that no table
+has more rows than that. (The pivots alone can't deal fingerprints out: two unrelated ones are within 2 of each
+other on a given pivot about a third of the time.)
 
 Defined results: null and empty texts have fingerprint zero and link like others; equal texts have
-equal fingerprints; rows that share a doc_id are one document; a row without doc_id gets the component
-of its group, null if nobody in the group has an id.
+equal fingerprints; rows that share a doc_id but not the text have fingerprints of their own and aren't linked
+by the id; a row without doc_id gets the component of its group, null if nobody in the group has an id.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table, text_or_empty
+from .common import cut, salted, shuffle_partitions, table, text_or_empty, written
 from .components import components
 
 SHINGLE, SEED, BITS_APART = 3, 42, 2
-GROUP = 4096
+GROUP, PAIRS = 4096, 1 << 20  # rows of a table of distances at most, and pairs looked at together
 PIVOTS = np.array([random.Random(f"pivot {i}").getrandbits(64) for i in range(16)], np.uint64)
-_NO_ID = 2**63 - 1
 
 
 def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> list[int]:
@@ -77,108 +76,129 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _forest(fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of one key's fingerprints."""
-    fp = fp.view(np.uint64)
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label, the least member's place for each place, with the links (i, j) taken in."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for side in (i, j):
+            np.minimum.at(new, label[side], low)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_pairs(fp: np.ndarray, bits: int):
+    """Pairs (i, j) of places in fp, in parts, that differ in that many bits at most: those the pivots leave, verified."""
     pivots = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(pivots[:, 0], kind="stable")
-    fp, node, pivots = fp[order], node[order], pivots[order]
+    fp, pivots = fp[order], pivots[order]
     first = pivots[:, 0]
-    reach = np.searchsorted(first, first + BITS_APART, side="right")
-    root = list(range(len(fp)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    links = []
-    for i in range(len(fp) - 1):
-        j = np.arange(i + 1, reach[i])
-        if not len(j):
-            continue
-        near = j[np.abs(pivots[j] - pivots[i]).max(1) <= BITS_APART]
-        for k in near[np.bitwise_count(fp[near] ^ fp[i]) <= BITS_APART].tolist():
-            a, b = find(i), find(k)
-            if a != b:
-                root[b] = a
-                links.append((int(node[i]), int(node[k])))
-    return links
+    reach = np.searchsorted(first, first + np.int8(bits), side="right") - np.arange(len(fp)) - 1
+    before = np.concatenate([[0], np.cumsum(reach)])
+    start = 0
+    while start < len(fp):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + PAIRS, side="right")) - 1)
+        n = reach[start:stop]
+        i = np.repeat(np.arange(start, stop), n)
+        j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for c in range(1, len(PIVOTS)):
+            keep = np.abs(pivots[i, c] - pivots[j, c]) <= bits
+            i, j = i[keep], j[keep]
+        keep = np.bitwise_count(fp[i] ^ fp[j]) <= bits
+        yield order[i[keep]], order[j[keep]]
+        start = stop
+
+
+def _parts(bits: int) -> list[int]:
+    """Three masks that share the bits of a mask out evenly."""
+    places = [b for b in range(64) if bits >> b & 1]
+    return [sum(1 << b for b in places[k::3]) for k in range(3)]
+
+
+def _dealt(key: int, fp: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, fingerprints and unused bits of a group that is dealt again."""
+    keys, rests = [], []
+    with np.errstate(over="ignore"):
+        for k, part in enumerate(_parts(rest)):
+            x = (fp & np.uint64(part)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 3 + k + 1) % 2**64) * np.uint64(0xD6E8FEB86659FD93)
+            keys.append(x ^ (x >> np.uint64(32)))
+            rests.append(np.full(len(fp), rest & ~part, np.uint64))
+    return np.concatenate(keys).view(np.int64), np.tile(fp, 3).view(np.int64), np.concatenate(rests).view(np.int64)
+
+
+_GROUPED = "kind int, key bigint, fp bigint, rest bigint"
 
 
 def _link_groups(batches):
-    """Rows sorted by key: links of each key, or (kind 1) the members of keys over GROUP."""
-    held_key, held_fp, held_node, over = None, [], [], False
+    """Rows (key, fp, rest) sorted by key: (kind 0) links of each group as key and fp, or (kind 1) members of larger groups, dealt again."""
+    held_key, held, rest, over = None, [], 0, False
 
     def close():
-        if held_fp and not over:
-            fp, node = np.concatenate(held_fp), np.concatenate(held_node)
-            if len(fp) > 1:
-                return _forest(fp, node)
-        return []
+        fp = np.unique(np.concatenate(held)) if held and not over else np.zeros(0, np.uint64)
+        label = np.arange(len(fp))
+        for i, j in near_pairs(fp, BITS_APART) if len(fp) > 1 else ():
+            label = joined(label, i, j)
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        return rows(0, fp[linked].view(np.int64), fp[label[linked]].view(np.int64), np.zeros(len(linked), np.int64))
+
+    def rows(kind, key, fp, rest) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (key, fp, rest))], ["kind", "key", "fp", "rest"])
 
     for batch in batches:
-        key, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node"))
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        stops = np.append(starts[1:], len(key))
-        links, members = [], []
-        for a, b in zip(starts.tolist(), stops.tolist()):
+        key, fp, left = (batch.column(c).to_numpy() for c in ("key", "fp", "rest"))
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
             if key[a] != held_key:
-                links += close()
-                held_key, held_fp, held_node, over = key[a], [], [], False
-            held_fp.append(fp[a:b])
-            held_node.append(node[a:b])
-            if over or sum(map(len, held_fp)) > GROUP:
+                yield close()
+                held_key, held, over, rest = int(key[a]), [], False, int(left[a]) % 2**64
+            held.append(fp[a:b].view(np.uint64))
+            if over or sum(map(len, held)) > GROUP:
                 over = True
-                members += zip(np.concatenate(held_fp).tolist(), np.concatenate(held_node).tolist())
-                held_fp, held_node = [], []
-        yield _rows(links, members)
-    yield _rows(close(), [])
-
-
-def _rows(links: list, members: list) -> pa.RecordBatch:
-    both = [*links, *members]
-    return pa.RecordBatch.from_pydict(
-        {
-            "kind": pa.array([0] * len(links) + [1] * len(members), pa.int32()),
-            "a": pa.array([x[0] for x in both], pa.int64()),
-            "b": pa.array([x[1] for x in both], pa.int64()),
-        }
-    )
-
-
-def _keys():
-    """Six keys: any two of the four 16-bit blocks, with the pair's number on top."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.array(*[(F.lit(n).cast("bigint") * 2**32 + block[i] * 65536 + block[j]) for n, (i, j) in enumerate(pairs)])
+                yield rows(1, *_dealt(held_key, np.concatenate(held), rest))
+                held = []
+    yield close()
 
 
 def links(distinct: DataFrame, partitions: int) -> DataFrame:
-    """(u, v) of bigint nodes: a spanning set of the links between distinct fingerprints. distinct: (fp, node)."""
-    keyed = distinct.select(F.explode(_keys()).alias("key"), "fp", "node")
-    # a key that only one fingerprint has links nothing
-    grouped = keyed.repartition(partitions, "key").sortWithinPartitions("key")
-    found = cut(grouped.mapInArrow(_link_groups, "kind int, a bigint, b bigint"))
-    plain = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    crowd = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
-    if crowd.isEmpty():
-        return plain
-    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
-    balls = crowd.select(F.explode(flips).alias("value"), "node")
-    least = balls.groupBy("value").agg(F.min("node").alias("v"))
-    return plain.unionAll(balls.join(least, "value").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
+    """(u, v) of fingerprints: a spanning set of the links between the rows of distinct (fp)."""
+    found = distinct.count()
+    bits = min(max((4 * found // GROUP).bit_length(), 1), 21)
+    blocks = [sum(1 << (63 - 21 * k - b) for b in range(bits)) for k in range(3)]
+    signed = lambda mask: mask - 2**64 if mask >= 2**63 else mask
+    group = lambda k: F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(blocks[k])))).alias("key"), F.lit(signed(2**64 - 1 - blocks[k])).alias("rest"))
+    todo = distinct.select(F.explode(F.array(*map(group, range(3)))).alias("g"), "fp").select("g.key", "fp", "g.rest")
+    every = None
+    while True:
+        dealt = todo.repartition(partitions, "key").sortWithinPartitions("key")
+        made = cut(dealt.mapInArrow(_link_groups, _GROUPED))
+        plain = made.where("kind = 0").select(F.col("key").alias("u"), F.col("fp").alias("v"))
+        every = plain if every is None else every.unionAll(plain)
+        todo = made.where("kind = 1").select("key", "fp", "rest")
+        if todo.isEmpty():
+            return every
+
+
+def named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, least) of nodes that are linked: the least id in their component. nodes: (node, id), one row a node."""
+    roots = components(edges)
+    members = written(roots.select(F.col("u").alias("node"), "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
+    least = members.join(nodes, "node").groupBy("root").agg(F.min("id").alias("least"))
+    return salted(members, least, "root", "node").select("node", "least")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
-    spark = docs.sparkSession
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.lit(_NO_ID))))
-    roots = components(links(distinct.select("fp", "node"), shuffle_partitions(spark)))
-    named = distinct.join(roots, distinct["node"] == roots["u"], "left").select("fp", F.nullif(F.coalesce("root", "node"), F.lit(_NO_ID)).alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs))
+    distinct = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("id")))
+    linked = named(links(distinct.select(F.col("node").alias("fp")), shuffle_partitions(docs.sparkSession)), distinct)
+    of_print = distinct.join(linked, "node", "left").select(F.col("node").alias("fp"), F.coalesce("least", "id").alias("component_id"))
+    return salted(prints, of_print, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,23 +8,24 @@ picked alike wherever the string stands, with REACH bytes more before it or behi
 anchors occur once so extended are unique. (Anchors alone come again by chance, and the more so the larger
 the corpus.)
 
-Shards are groups of repeated anchors with the text around each of their places. A shard's suffixes are
-sorted by prefix doubling after Larsson and Sadakane: they start ordered by 8 bytes, and each round
-sorts only groups that are still tied, by the rank of what follows. Only common prefixes of SPAN bytes
-matter, so the last round stops there: suffixes of equal rank are those whose Kasai prefix is SPAN or
-more, and each string is judged in the shard of its own anchor. Anchors with very many places are split
-among shards. A split anchor's shards each send the first place of each of their strings to a merge by
-sorted keys, so that one place in the corpus stays the first. (Only there do shards have strings in
-common: a binary search of each shard in every other would grow with the square of the shards.)
+Shards are groups of repeated anchors with the text around each of their places, in pieces of RUN strings at
+most. A shard's suffixes are sorted by prefix doubling after Larsson and Sadakane: they start ordered by STEP bytes,
+and each round sorts only groups that are still tied, by the rank of what follows, until none is; pieces end in
+symbols of their own, so no tie is longer than a piece. Common prefixes of neighbours come from Kasai's rule,
+that a suffix shares at least one byte less than the one before it in the text: only where the bytes in front
+differ are bytes compared. Neighbours of SPAN common bytes or more are the same string, and each string is judged
+in the shard of its own anchor. Anchors with very many places are split among shards. The shards of a split
+anchor each send their distinct strings in order, with the first place of each, and these arrays are merged one
+by one by binary search, so that one place in the corpus stays the first. (Only there do shards have strings in
+common: a binary search of every shard in every other would grow with the square of the shards.)
 
 Defined results: a null text counts as empty; texts of fewer than SPAN bytes keep all; rows equal in
 doc_id and text are one document, and get the same result; rows that share a doc_id but not the text
-are ordered by text; a null doc_id stands first.
+are ordered by a hash of the text; a null doc_id stands first.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, shuffle_partitions, table, text_or_empty
+from .common import bit_filter, by_bytes, cut, shuffle_partitions, table, text_or_empty, written
 
 SPAN, GRAM = 100, 36
 _WINDOW = SPAN - GRAM + 1
@@ -40,6 +41,9 @@ REACH = _WINDOW // 2  # of what a string has beside its anchor, one side holds h
 _SLICE = 1_500_000
 _SHARD = 3_000_000  # bytes of context that one suffix array takes in
 HOT = 2000  # places of an anchor that stay together, at least
+RUN = 2048  # strings of a piece of text at most
+STEP = 7  # bytes that suffixes are first ordered by
+SLOTS = 256  # parts that the strings of a split anchor are merged in
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _PREFIX = 24  # bits of its anchor's hash that a key starts with
@@ -121,35 +125,81 @@ def runs_of(place: np.ndarray, h: np.ndarray, least: np.ndarray, first: np.ndarr
     return at
 
 
-def equal_strings(data: np.ndarray, judged: np.ndarray) -> np.ndarray:
-    """A number for each judged place, equal where the SPAN bytes from there are equal. All lie inside data."""
-    padded = np.concatenate([data, np.zeros(SPAN, np.uint8)])
-    # order by 8 bytes
-    key = np.zeros(len(data), _U)
-    for i in range(8):
-        key = (key << _U(8)) | padded[i : i + len(data)]
-    rank = _ranked(key)
-    size = 8
-    while size < SPAN:
-        step = min(size, SPAN - size)
-        following = np.concatenate([rank[step:], np.full(step, -1, rank.dtype)])[: len(rank)]
-        tied = _tied(rank)
-        if not tied.any():
+def suffix_array(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of pieces of the given sizes that lie side by side; each ends in a symbol of its own, below all bytes."""
+    end = np.repeat(np.cumsum(size), size)
+    piece = np.repeat(np.arange(len(size)), size)
+    rank = _ranked(_words(data, end))
+    step, place = STEP, np.arange(len(data))
+    while True:
+        open_ = np.flatnonzero(_tied(rank))
+        if not len(open_):
             break
-        places = np.flatnonzero(tied)
+        after = np.minimum(open_ + step, len(data) - 1)
+        following = np.where(open_ + step < end[open_], rank[after], -1 - piece[open_])
         # tied groups are refined in place: a member's new rank is its group's first plus its order inside it
-        order = places[np.lexsort((following[places], rank[places]))]
-        group, after = rank[order], following[order]
+        own = np.lexsort((following, rank[open_]))
+        group, order, after = rank[open_][own], open_[own], following[own]
         new_group = np.concatenate([[True], group[1:] != group[:-1]])
         new_key = new_group | np.concatenate([[True], after[1:] != after[:-1]])
         at = np.arange(len(order))
         head = np.maximum.accumulate(np.where(new_group, at, 0))
-        own = np.maximum.accumulate(np.where(new_key, at, 0))
-        fresh = rank.copy()
-        fresh[order] = group + (own - head)
-        rank = fresh
-        size += step
-    return rank[judged]
+        rank[order] = group + (np.maximum.accumulate(np.where(new_key, at, 0)) - head)
+        step *= 2
+    out = np.empty(len(data), np.int64)
+    out[rank] = place
+    return out
+
+
+def _words(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The STEP symbols from each place as a number, nine bits each: a byte and one, or zero behind a piece's end."""
+    key = np.zeros(len(data), _U)
+    symbols = np.concatenate([data.astype(_U) + _U(1), np.zeros(STEP, _U)])
+    left = end - np.arange(len(data))
+    for i in range(STEP):
+        key = (key << _U(9)) | np.where(left > i, symbols[i : i + len(data)], _U(0))
+    return key
+
+
+def common_prefixes(data: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each suffix, by its place, how many bytes it shares with the one before it in the order. Kasai's rule in numpy.
+
+    Where the bytes in front of both are equal a suffix shares one byte less than the suffix one place to its left; the
+    others are compared, STEP bytes at a time.
+    """
+    n = len(data)
+    end = np.repeat(np.cumsum(size), size)
+    begin = end - np.repeat(size, size)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    place = np.arange(n)
+    front = np.maximum(before, 1) - 1
+    follows = (before >= 0) & (place > begin) & (before > begin[np.maximum(before, 0)]) & (data[np.maximum(place - 1, 0)] == data[front])
+    shared = np.zeros(n, np.int64)
+    i = np.flatnonzero(~follows & (before >= 0))
+    words, most = _words(data, end), np.minimum(end[i] - i, end[before[i]] - before[i])
+    open_, done = np.arange(len(i)), np.zeros(len(i), np.int64)
+    while len(open_):
+        x, y = i[open_] + done[open_], before[i[open_]] + done[open_]
+        differ = words[x] ^ words[y]
+        # the symbol of the highest bit in which they differ; floats hold 53 bits exactly
+        high = np.frexp((differ >> _U(10)).astype(np.float64))[1] + 9
+        same = np.where(differ < _U(1 << 10), np.where(differ < _U(1 << 9), STEP - 1, STEP - 2), (9 * STEP - 1 - high) // 9)
+        same = np.where(differ == 0, STEP, same)
+        done[open_] = np.minimum(done[open_] + same, most[open_])
+        open_ = open_[(differ == 0) & (done[open_] < most[open_])]
+    shared[i] = done
+    # the rest: counted down from the last compared place
+    last = np.maximum.accumulate(np.where(follows, 0, place))
+    return np.where(follows, shared[last] - (place - last), shared)
+
+
+def equal_strings(data: np.ndarray, size: np.ndarray, judged: np.ndarray) -> np.ndarray:
+    """A number for each judged place, rising in the strings' order, equal where the SPAN bytes from there are equal. All lie inside their pieces."""
+    order = suffix_array(data, size)
+    number = np.empty(len(data), np.int64)
+    number[order] = np.cumsum(common_prefixes(data, size, order)[order] < SPAN)
+    return number[judged]
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
@@ -220,28 +270,6 @@ def _anchor_counts(firsts: DataFrame) -> DataFrame:
     return cut(counted.where("n > 1"))
 
 
-def _filter(repeated: DataFrame, n_keys: int) -> bytes:
-    """Which keys may be repeated, by their last bits: eight bits a key within FILTER_BITS. Beyond, more is sorted, and nothing lost."""
-    bits = min(max((8 * n_keys).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    width = 1 << (bits - 12)  # rows of 2^12 bits
-    slot = F.col("key").bitwiseAND((1 << bits) - 1)
-
-    def run(batches):
-        marks = np.zeros((width, 1 << 9), np.uint8)
-        for batch in batches:
-            s = batch.column("slot").to_numpy()
-            np.bitwise_or.at(marks.reshape(-1), s >> 3, (1 << (s & 7)).astype(np.uint8))
-        for i in np.flatnonzero(marks.any(1)).tolist():
-            yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "bits": pa.array([marks[i].tobytes()], pa.binary())})
-
-    partitions = min(32, shuffle_partitions(repeated.sparkSession))
-    spread = repeated.select(slot.alias("slot")).distinct().repartitionByRange(partitions, "slot")
-    out = np.zeros((width, 1 << 9), np.uint8)
-    for r in spread.mapInArrow(run, "row int, bits binary").toLocalIterator():
-        out[r["row"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
-
-
 def _contexts(firsts: DataFrame, bits: bytes, crowded: dict[int, int]) -> DataFrame:
     """Each run of strings whose anchor may be repeated, with its bytes; runs of crowded anchors are dealt to parts."""
     sent = firsts.sparkSession.sparkContext.broadcast((bits, crowded))
@@ -255,7 +283,12 @@ def _contexts(firsts: DataFrame, bits: bytes, crowded: dict[int, int]) -> DataFr
                 slot = (side_key & _U(8 * len(known) - 1)).astype(np.int64)
                 seen = np.unique(of[((known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0])
                 may = np.unique(runs_of(spot[seen], h[seen], least, begin))
-                own, i, j, key = (x[may].tolist() for x in (owner, first, last, least.view(np.int64)))
+                # long runs, of periodic text, are cut; every string is in one piece
+                cuts = (last[may] - first[may]) // RUN + 1
+                nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                may = np.repeat(may, cuts)
+                own, key, i = owner[may].tolist(), least[may].view(np.int64).tolist(), (first[may] + nth * RUN).tolist()
+                j = np.minimum(last[may], first[may] + nth * RUN + RUN - 1).tolist()
                 parts = [parts_of.get(k, 1) for k in (least[may] >> _U(64 - _PREFIX)).tolist()]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -272,11 +305,13 @@ def _contexts(firsts: DataFrame, bits: bytes, crowded: dict[int, int]) -> DataFr
     return firsts.mapInArrow(run, "anchor bigint, part int, split boolean, doc bigint, tid bigint, place bigint, chunk binary")
 
 
-_FOUND = "key binary, doc bigint, tid bigint, start bigint, stop bigint"
+_FOUND = "doc bigint, tid bigint, start bigint, stop bigint, anchor bigint, part int, string binary"
 
 
-def _rows(keys, doc, tid, start, stop) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "doc": pa.array(doc, pa.int64()), "tid": pa.array(tid, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+def _rows(doc, tid, start, stop, anchor=None, part=None, string=None) -> pa.RecordBatch:
+    none = [None] * len(doc)
+    columns = zip((doc, tid, start, stop, *(none if x is None else x for x in (anchor, part, string))), (*[pa.int64()] * 5, pa.int32(), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in columns], ["doc", "tid", "start", "stop", "anchor", "part", "string"])
 
 
 def _repeats_itself(chunk: bytes) -> bool:
@@ -299,22 +334,22 @@ def _shard(rows: dict[str, list]) -> list[pa.RecordBatch]:
     out = []
     if whole:
         doc, tid, start = ([rows[n][i] for i in whole] for n in ("doc", "tid", "place"))
-        out.append(_rows([None] * len(whole), doc, tid, start, [rows["place"][i] + len(rows["chunk"][i]) for i in whole]))
+        out.append(_rows(doc, tid, start, [rows["place"][i] + len(rows["chunk"][i]) for i in whole]))
     if left:
         out += _sorted_strings({n: [v[i] for i in left] for n, v in rows.items()})
     return out
 
 
 def _sorted_strings(rows: dict[str, list]) -> list[pa.RecordBatch]:
-    """One suffix array: intervals that repeat an earlier place of the shard; of split anchors also each string's first place, under its digest."""
+    """One suffix array: intervals that repeat an earlier place of the shard; of split anchors also each string's first place, in the strings' order."""
     chunks = rows["chunk"]
     size = np.array([len(c) for c in chunks])
     data = np.frombuffer(b"".join(chunks), np.uint8)
     strings = size - SPAN + 1
     at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
     judged = np.repeat(np.cumsum(size) - size, strings) + at
-    number = equal_strings(data, judged)
-    doc, tid, split = (np.repeat(np.array(rows[c]), strings) for c in ("doc", "tid", "split"))
+    number = equal_strings(data, size, judged)
+    doc, tid, split, anchor, part = (np.repeat(np.array(rows[c]), strings) for c in ("doc", "tid", "split", "anchor", "part"))
     place = np.repeat(np.array(rows["place"]), strings) + at
     order = np.lexsort((place, tid, doc, number))
     first = np.concatenate([[True], number[order][1:] != number[order][:-1]])
@@ -327,15 +362,68 @@ def _sorted_strings(rows: dict[str, list]) -> list[pa.RecordBatch]:
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])
         begin = np.flatnonzero(new)
         end = np.append(begin[1:] - 1, len(later) - 1)
-        out.append(_rows([None] * len(begin), d[begin], t[begin], p[begin], p[end] + SPAN))
+        out.append(_rows(d[begin], t[begin], p[begin], p[end] + SPAN))
     firsts = order[first]
     if len(firsts := firsts[split[firsts]]):
         raw = data.tobytes()
-        keys = [hashlib.blake2b(raw[j : j + SPAN], digest_size=16).digest() for j in judged[firsts].tolist()]
-        out.append(_rows(keys, doc[firsts], tid[firsts], place[firsts], place[firsts] + SPAN))
+        out.append(_rows(doc[firsts], tid[firsts], place[firsts], place[firsts] + SPAN, anchor[firsts], part[firsts], [raw[j : j + SPAN] for j in judged[firsts].tolist()]))
     return out
 
 
+def _merged(batches):
+    """Rows (anchor, slot, part, string, doc, tid, start) sorted by the first four: places that another shard has earlier.
+
+    The strings of each part are searched, in halves, in what the parts before it have together.
+    """
+    kind = np.dtype([("doc", np.int64), ("tid", np.int64), ("start", np.int64)])
+    key, part, held = None, None, ([], [])
+    known, least = np.zeros(0, f"S{SPAN}"), np.zeros(0, kind)
+    out: list[np.ndarray] = []
+
+    def close_part() -> None:
+        nonlocal known, least, held
+        if not held[0]:
+            return
+        strings, places = np.array(held[0], f"S{SPAN}"), np.array(held[1], kind)
+        held = ([], [])
+        at = np.searchsorted(known, strings)
+        met = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == strings) if len(known) else np.zeros(0, np.int64)
+        old, new = least[at[met]], places[met]
+        earlier = np.array([tuple(x) < tuple(y) for x, y in zip(new.tolist(), old.tolist())], bool)
+        equal = new == old  # a repeated row
+        out.append(np.where(earlier, old, new)[~equal])
+        least[at[met]] = np.where(earlier, new, old)
+        fresh = np.ones(len(strings), bool)
+        fresh[met] = False
+        known, least = np.insert(known, at[fresh], strings[fresh]), np.insert(least, at[fresh], places[fresh])
+
+    def rows() -> pa.RecordBatch:
+        every = np.concatenate(out) if out else np.zeros(0, kind)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (every["doc"], every["tid"], every["start"], every["start"] + SPAN)], ["doc", "tid", "start", "stop"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("anchor", "slot", "part", "string", "doc", "tid", "start")]
+        for anchor, slot, p, string, *place in zip(*columns):
+            if (anchor, slot) != key:
+                close_part()
+                key, part, known, least = (anchor, slot), p, np.zeros(0, f"S{SPAN}"), np.zeros(0, kind)
+            elif p != part:
+                close_part()
+                part = p
+            if not held[0] or held[0][-1] != string:
+                held[0].append(string)
+                held[1].append(tuple(place))
+            else:  # a shard of the same part has it as well
+                low, high = sorted((held[1][-1], tuple(place)))
+                held[1][-1] = low
+                if low != high:
+                    out.append(np.array([high], kind))
+        yield rows()
+    close_part()
+    yield rows()
+
+
 def _shards(batches):
     """Rows sorted by anchor and part: whole groups are gathered into suffix arrays of about _SHARD bytes."""
     names = ("anchor", "part", "split", "doc", "tid", "place", "chunk")
@@ -363,16 +451,16 @@ def removals(docs: DataFrame, partitions: int | None = None, hot: int = HOT) ->
     repeats = _repeats(rows, partitions)
     firsts = _firsts(rows, repeats)
     repeated = _anchor_counts(firsts)
-    n_keys, total = (int(x or 0) for x in repeated.agg(F.count(F.lit(1)), F.sum("n")).first())
+    total = int(repeated.agg(F.sum("n")).first()[0] or 0)
     most = max(hot, total // (128 * partitions))  # an anchor has two keys; so at most 64 prefixes a partition are crowded
     by_prefix = repeated.groupBy(F.shiftrightunsigned("key", 64 - _PREFIX).alias("prefix")).agg(F.ceil(F.sum("n") / 2).alias("n"))
     crowded = {r["prefix"]: -(-r["n"] // most) for r in by_prefix.where(F.col("n") > most).collect()}
-    contexts = _contexts(firsts, _filter(repeated, n_keys), crowded)
-    found = cut(contexts.repartition(partitions, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_shards, _FOUND))
-    inside = found.where("key is null").select("doc", "tid", "start", "stop")
-    merge = found.where("key is not null")
-    least = merge.groupBy("key").agg(F.min(F.struct("doc", "tid", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    across = merge.join(least, "key").where(F.struct("doc", "tid", "start") > F.col("least")).select("doc", "tid", "start", "stop")
+    contexts = _contexts(firsts, bit_filter(repeated, "key", FILTER_BITS), crowded)
+    found = written(contexts.repartition(partitions, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_shards, _FOUND))
+    inside = found.where("string is null").select("doc", "tid", "start", "stop")
+    slot = F.pmod(F.xxhash64("string"), F.lit(SLOTS)).cast("int").alias("slot")
+    split = found.where("string is not null").select("anchor", slot, "part", "string", "doc", "tid", "start").repartition(partitions, "anchor", "slot")
+    across = split.sortWithinPartitions("anchor", "slot", "part", "string").mapInArrow(_merged, "doc bigint, tid bigint, start bigint, stop bigint")
     spans = inside.unionAll(across).groupBy(_row_number(F.col("doc"), F.col("tid")).alias("number")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows, repeats, spans
 

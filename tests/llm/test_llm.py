@@ -75,25 +75,39 @@ def test_fingerprints_do_not_depend_on_the_offset():
 
 @pytest.mark.parametrize("group", [4096, 3])
 def test_links_equal_brute_force(spark, group, monkeypatch):
+    """Groups within the bound, and groups that are dealt again and again."""
     import random
 
     monkeypatch.setattr(simhash_pivots, "GROUP", group)
     random.seed(5)
-    values = [random.getrandbits(63) for _ in range(60)]
-    values += [v ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63)) for v in values for _ in range(4)]
-    rows = [(v, i) for i, v in enumerate(dict.fromkeys(values))]
+    values = [random.getrandbits(64) - 2**63 for _ in range(60)] + [random.getrandbits(20) for _ in range(60)]
+    flip = lambda v: v ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63))
+    values = list(dict.fromkeys([*values, *(flip(v) for v in values for _ in range(4))]))
     from flowframe.llm.components import components
 
-    found = dict(tuple(r) for r in components(simhash_pivots.links(spark.createDataFrame(rows, "fp bigint, node bigint"), 4)).collect())
-    root = {i: i for _, i in rows}
-    for _ in rows:
-        for v, i in rows:
-            for w, j in rows:
-                if bin(v ^ w).count("1") <= 2:
-                    root[i] = root[j] = min(root[i], root[j])
-        if all(root[i] == root[root[i]] for i in root):
-            break
-    assert {i: found.get(i, i) for i in root} == root
+    edges = simhash_pivots.links(spark.createDataFrame([(v,) for v in values], "fp bigint"), 4)
+    found = dict(tuple(r) for r in components(edges).collect())
+    root = {v: v for v in values}
+    changed = True
+    while changed:
+        changed = False
+        for v in values:
+            for w in values:
+                if root[v] > root[w] and bin((v ^ w) & (2**64 - 1)).count("1") <= 2:
+                    root[v], changed = root[w], True
+    assert {v: found.get(v, v) for v in values} == root
+
+
+def test_every_pair_within_two_bits_survives_the_pivots():
+    import random
+
+    import numpy as np
+
+    random.seed(9)
+    values = [random.getrandbits(64) for _ in range(300)]
+    values += [v ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for v in values]
+    found = {(min(i, j), max(i, j)) for part in simhash_pivots.near_pairs(np.array(values, np.uint64), 2) for i, j in zip(*(x.tolist() for x in part))}
+    assert found == {(i, j) for i in range(600) for j in range(i + 1, 600) if (values[i] ^ values[j]).bit_count() <= 2}
 
 
 def test_archives_round_trip(spark, tmp_path):
