@@ -26,10 +26,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word likeness 0.8) the document with the smallest id stays; so do rows without an id."""
-    found = near_copies.near_copies(docs)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of near copies (5-word likeness 0.8) the document with the smallest id stays, one without an id only if none has one."""
+    return _without(docs, near_copies.near_copies(docs).where("not stays").select("row"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
