@@ -58,10 +58,10 @@ def row_key() -> Column:
 SALT = 16
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of many left rows with the one right row of their key; rows of a frequent key are dealt to SALT parts by another column."""
+def salted(left: DataFrame, right: DataFrame, key: str, *by: str, how: str = "inner") -> DataFrame:
+    """Join of many left rows with the one right row of their key; rows of a frequent or null key are dealt to SALT parts by other columns."""
     few = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(few, [key, "__salt"]).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int")).join(few, [key, "__salt"], how).drop("__salt")
 
 
 def bit_filter(keys: DataFrame, column: str, bits: tuple[int, int]) -> bytes:

@@ -12,7 +12,7 @@ Terms are runs of letters and digits, lower-cased, of at least TERM_CHARS charac
 64-bit hashes of terms and values. All is JVM-side; the counts are pre-aggregated before each shuffle.
 
 Defined results: a null text has no spans and stays null when sanitised; rows that share a doc_id but
-not the text are documents of their own, rows equal in both get the same spans and count as one; a value that all documents have tells nothing
+not the text are documents of their own, rows equal in both get the same spans and count as often as they occur; a value that all documents have tells nothing
 (IC 0) and adds no span; a term that overlaps a base span is no span; ties can't occur, as every span of
 a kind has its own start.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import row_key, table, text_or_empty, written
 
 #: Fixed patterns. \G or a lookbehind pins an attempt to the start of a run, which changes no match and keeps matching linear.
 PATTERNS = {
@@ -143,22 +143,22 @@ def _hash(value: Column) -> Column:
 
 
 def located(keyed: DataFrame) -> DataFrame:
-    """(__row, doc_id, base, near) of each row of (__row, doc_id, text): its base spans, and what stands near each.
+    """(__n, __row, doc_id, base, near) of each row of (__row, doc_id, text): a number of its own, its base spans, and what stands near each.
 
     One pass over the texts, which stay behind.
     """
-    slim = keyed.select("__row", "doc_id", text_or_empty().alias("text"), base_spans(text_or_empty()).alias("base"))
+    slim = keyed.select(F.monotonically_increasing_id().alias("__n"), "__row", "doc_id", text_or_empty().alias("text"), base_spans(text_or_empty()).alias("base"))
     around = F.transform("base", lambda s: F.struct(_hash(s["value"]).alias("entity"), _terms_near(F.col("text"), s, F.col("base")).alias("terms")))
     shown = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(1.0).cast("double").alias("share")))
-    return cut(slim.select("__row", "doc_id", shown.alias("base"), around.alias("near")))
+    return written(slim.select("__n", "__row", "doc_id", shown.alias("base"), around.alias("near")))
 
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(__row, terms) of rows where terms near base spans disclose them: array<struct<start, kind, stop, share>>."""
-    near = found.select("__row", F.explode("near").alias("n")).select("__row", "n.entity", F.explode_outer("n.terms").alias("t"))
-    near = near.select("__row", "entity", _hash(F.col("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
-    together = near.where("start is not null").select("__row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    with_entity = near.select("__row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    near = found.select("__n", "__row", F.explode("near").alias("n")).select("__n", "__row", "n.entity", F.explode_outer("n.terms").alias("t"))
+    near = near.select("__n", "__row", "entity", _hash(F.col("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
+    together = near.where("start is not null").select("__n", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    with_entity = near.select("__n", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(_TERM), F.lit(0)))).alias("w"))
     with_term = words.where(F.length("w") >= TERM_CHARS).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("df_term"))
     total = F.lit(float(found.count()))
@@ -172,21 +172,16 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
 _NO_SPANS = "array<struct<start:bigint,kind:int,stop:bigint,share:double>>"
 
 
-def _row_key() -> Column:
-    """A number that a second reading of the row repeats; rows equal in id and text share it, and count as one document."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text"))
-
-
 def _all_spans() -> Column:
     return F.array_sort(F.concat(F.col("base"), F.coalesce(F.col("terms"), F.array().cast(_NO_SPANS))))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data and what discloses it taken out of the text, and n_chars renewed where it exists."""
-    keyed = docs.select(_row_key().alias("__row"), F.col("doc_id"), F.col("text"))
+    keyed = docs.select(row_key().alias("__row"), F.col("doc_id"), F.col("text"))
     found = located(keyed)
     spans = found.where(F.size("base") > 0).join(revealing(docs, found), "__row", "left").select(F.col("__row").alias("__found"), _all_spans().alias("__spans")).dropDuplicates(["__found"])
-    joined = docs.withColumn("__key", _row_key()).join(spans, F.col("__key") == F.col("__found"), "left")
+    joined = docs.withColumn("__key", row_key()).join(spans, F.col("__key") == F.col("__found"), "left")
     touched = F.col("__spans").isNotNull()
     clean = F.when(touched, _replaced(text_or_empty(), F.col("__spans"))).otherwise(F.col("text"))
     columns = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
@@ -220,8 +215,8 @@ def _listed(spans: Column) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """For each row its doc_id, counts and lists of base spans and of all spans."""
-    found = located(docs.select(_row_key().alias("__row"), F.col("doc_id"), F.col("text")))
-    joined = found.drop("near").join(revealing(docs, found), "__row", "left")
+    found = located(docs.select(row_key().alias("__row"), F.col("doc_id"), F.col("text")))
+    joined = found.drop("near", "__n").join(revealing(docs, found), "__row", "left")
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(PATTERNS)]
     return joined.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(_all_spans()).alias("spans"))

@@ -9,7 +9,8 @@ log-likelihood counts as that of TEXT_WEIGHT trigrams at most, as trigrams of a
 
 Defined results: null or empty texts leave the decision to the other evidence; a row without address
 takes the corpus's shares as prior; a missing declaration is no evidence; ties go to the language that
-sorts first; without labelled texts every language is null. Repeated rows are judged alike.
+sorts first; without labelled texts every language is null. Repeated rows are judged alike. Columns other
+than those named are left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -21,16 +22,67 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, table, text_or_empty
+from .common import by_bytes, cut, salted, table, text_or_empty
 
-#: The fitting sample: texts of each language at most, their length in code points, and languages.
-SAMPLE_PER_LANGUAGE, SAMPLE_TEXT, LANGUAGES = 400, 20_000, 64
+#: The fitting sample: texts of each language at most, and their length in code points. Every language that is labelled is learned.
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXT = 400, 20_000
 BITS, TEXT_WEIGHT, SMOOTHING = 16, 100, 20.0
-_SKIP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+_HIDDEN = ("script", "style", "noscript", "template")
+_OPENS = re.compile(rf"(?i)({'|'.join(_HIDDEN)})\b")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in _HIDDEN}
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]+)")
+
+
+def visible(page: str) -> str:
+    """A page without tags, comments and what scripts and styles hold. Each search that finds nothing is made once, so the time is linear.
+
+    A comment or script that never ends is only its own tag; a < without > is text.
+    """
+    out, at = [], 0
+    missing = set()
+
+    def end_of(name: str, find) -> int:
+        if name in missing:
+            return -1
+        found = find()
+        if found < 0:
+            missing.add(name)
+        return found
+
+    def closing(pattern: re.Pattern, start: int) -> int:
+        found = pattern.search(page, start)
+        return found.end() if found else -1
+
+    while (start := page.find("<", at)) >= 0:
+        end = -1
+        if page.startswith("<!--", start):
+            end = end_of("-->", lambda: page.find("-->", start + 4))
+            end = end + 3 if end >= 0 else -1
+        elif opened := _OPENS.match(page, start + 1):
+            name = opened[1].lower()
+            end = end_of(name, lambda: closing(_CLOSES[name], opened.end()))
+        if end < 0:
+            end = end_of(">", lambda: page.find(">", start))
+            if end < 0:
+                break
+            end += 1
+        out += (page[at:start], " ")
+        at = end
+    return "".join((*out, page[at:]))
+
+
+def declared(page: str) -> str | None:
+    """The language that the page's first html tag names."""
+    tag = _HTML.search(page)
+    if not tag:
+        return None
+    end = page.find(">", tag.end())
+    found = _LANG.search(page, tag.end(), end if end >= 0 else len(page))
+    return found[1].lower() if found else None
 
 
 @dataclass(frozen=True)
@@ -49,19 +101,22 @@ def _trigrams(data: bytes) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang") -> Model:
-    """From SAMPLE_PER_LANGUAGE texts of each of the LANGUAGES commonest labels, those with the smallest
-    hash of the id, out of rows whose crc32(doc_id) mod 5 is not 0."""
-    labelled = docs.select("doc_id", F.col(lang_col).alias("lang"), text_or_empty().alias("text"))
+    """From SAMPLE_PER_LANGUAGE texts of each label, those with the smallest hash of the id, out of rows whose crc32(doc_id) mod 5 is not 0."""
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_or_empty().alias("text"))
     labelled = labelled.where("doc_id is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    named = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    fits = F.length("text").between(3, SAMPLE_TEXT)
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_if(fits).alias("n")).collect()}
+    named = sorted(sizes)
     counts = np.full((1 << BITS, len(named)), 0.5)
-    fitting = labelled.where(f"length(text) between 3 and {SAMPLE_TEXT}")
-    # ids alone compete for the sample, so no task sends texts that don't win
-    ids = fitting.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
-    picked = [r for name in named for r in ids.where(F.col("lang") == name).orderBy("h", "doc_id").limit(SAMPLE_PER_LANGUAGE).collect()]
-    if picked:
-        chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "id bigint, of string"))
-        for row in fitting.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "text").collect():
+    if any(sizes.values()):
+        # of a frequent language only ids with a small hash compete, some three times as many as are wanted: groups are small, whatever the table
+        reach = [(name, min(1.0, (3 * SAMPLE_PER_LANGUAGE + 30) / n)) for name, n in sizes.items() if n]
+        bound = F.broadcast(docs.sparkSession.createDataFrame(reach, "lang string, reach double"))
+        place = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+        ids = labelled.where(fits).select("lang", "doc_id").withColumn("h", F.xxhash64("doc_id")).join(bound, "lang").where(place <= F.col("reach"))
+        ranked = ids.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+        chosen = F.broadcast(ranked.where(F.col("nth") <= SAMPLE_PER_LANGUAGE).select(F.col("doc_id").alias("id"), F.col("lang").alias("of")))
+        for row in labelled.where(fits).join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "text").collect():
             counts[:, named.index(row["lang"])] += np.bincount(_trigrams(row["text"].encode()), minlength=1 << BITS)
     return Model(tuple(named), np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32))
 
@@ -95,7 +150,7 @@ def _address(url: str | None) -> tuple[str | None, str | None, str | None]:
 _SCHEMA = "doc_id bigint, page_id bigint, host string, domain string, suffix string, declared string, evidence array<double>"
 
 
-def _rows(model: Model, doc_ids, page_ids, addresses, declared, texts) -> pa.RecordBatch:
+def _rows(model: Model, doc_ids, page_ids, addresses, stated, texts) -> pa.RecordBatch:
     evidence = _evidence(model, texts)
     return pa.RecordBatch.from_pydict(
         {
@@ -104,7 +159,7 @@ def _rows(model: Model, doc_ids, page_ids, addresses, declared, texts) -> pa.Rec
             "host": pa.array([a[0] for a in addresses], pa.string()),
             "domain": pa.array([a[1] for a in addresses], pa.string()),
             "suffix": pa.array([a[2] for a in addresses], pa.string()),
-            "declared": pa.array(declared, pa.string()),
+            "declared": pa.array(stated, pa.string()),
             "evidence": pa.array(list(evidence), pa.list_(pa.float64())),
         }
     )
@@ -113,14 +168,15 @@ def _rows(model: Model, doc_ids, page_ids, addresses, declared, texts) -> pa.Rec
 def page_evidence(pages: DataFrame, model: Model) -> DataFrame:
     """Evidence of web pages: visible text, declared language, address."""
 
+    sent = pages.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 ids, urls, pages_ = (part.column(c).to_pylist() for c in ("page_id", "url", "html"))
-                declared = [m[1].lower() if (m := _DECLARED.search(h)) else None for h in pages_]
-                texts = [entities.unescape(_SKIP.sub(" ", h)).encode("utf-8", "replace") for h in pages_]
-                yield _rows(model, [None] * len(ids), ids, [_address(u) for u in urls], declared, texts)
+                texts = [entities.unescape(visible(h)).encode("utf-8", "replace") for h in pages_]
+                yield _rows(sent.value, [None] * len(ids), ids, [_address(u) for u in urls], [declared(h) for h in pages_], texts)
 
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", text_or_empty("html").alias("html"))
     return slim.mapInArrow(run, _SCHEMA)
@@ -129,10 +185,12 @@ def page_evidence(pages: DataFrame, model: Model) -> DataFrame:
 def document_evidence(docs: DataFrame, model: Model) -> DataFrame:
     """Evidence of plain documents: their text, and their source in place of a host."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
         for batch in batches:
             ids, sources, texts = (batch.column(c).to_pylist() for c in ("doc_id", "source", "data"))
-            yield _rows(model, ids, [None] * len(ids), [(s, s, "") if s else (None,) * 3 for s in sources], [None] * len(ids), texts)
+            yield _rows(sent.value, ids, [None] * len(ids), [(s, s, "") if s else (None,) * 3 for s in sources], [None] * len(ids), texts)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().cast("binary").alias("data"))
     return slim.mapInArrow(run, _SCHEMA)
@@ -153,13 +211,15 @@ def fuse(evidence: DataFrame, model: Model) -> DataFrame:
         return sums.select(*by, F.array(*[F.col(f"s{i}") for i in range(k)]).alias("own"))
 
     host = cut(shares(rows.where("host is not null"), "host", "domain", "suffix"))
-    declared = shares(rows.where("declared is not null"), "declared").withColumnRenamed("own", "of_declared")
+    of_language = shares(rows.where("declared is not null"), "declared").withColumnRenamed("own", "of_declared")
     everywhere = rows.agg(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(k)]).first()
     stated = rows.where("declared is not null").agg(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(k)]).first()
     domain = shares(host, "domain", "suffix").withColumnRenamed("own", "of_domain")
     suffix = shares(host, "suffix").withColumnRenamed("own", "of_suffix")
     levels = host.withColumnRenamed("own", "of_host").join(domain, ["domain", "suffix"]).join(suffix, "suffix").select("host", "of_host", "of_domain", "of_suffix")
-    joined = rows.join(levels, "host", "left").join(declared, "declared", "left")
+    # many rows have no host, or one of few: these are dealt out by their ids
+    joined = salted(rows, levels, "host", "doc_id", "page_id", how="left")
+    joined = salted(joined, of_language, "declared", "doc_id", "page_id", how="left")
     total, n_stated = float(sum(everywhere)), float(sum(stated))
 
     def prior(i: int) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import free_name, table, text_or_empty
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -254,34 +254,51 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
+def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs with its columns as they are, and ids, begins, ends (source bytes of each piece) and decoded beside them.
+
+    A name that docs has already is lengthened by underscores.
+    """
+    names = [free_name(docs, n) for n in ("ids", "begins", "ends", "decoded")]
+    key = free_name(docs, "__text")
+    kinds = ("array<int>", "array<bigint>", "array<bigint>", "string")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {k}" for n, k in zip(names, kinds))])
+
+    def run(batches):
+        tool = codec(model)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                rows = [tool.encode(x) for x in part.column(key).to_pylist()]
+                made = [pa.array([r[c] for r in rows], pa.list_(k)) for c, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+                made.append(pa.array([tool.decode(r[0]) for r in rows], pa.string()))
+                kept = [c for c in part.schema.names if c != key]
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *made], [*kept, *names])
+
+    return docs.withColumn(key, text_or_empty()).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Encode and decode each text in one pass, keeping digests: no ids leave the worker.
 
-    span_bytes: source bytes that the projected spans cover, which is all of them.
+    spans_sha256: of all first source bytes, then all ends, as 64-bit little-endian numbers.
     """
-    slim = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
 
     def run(batches):
         tool = codec(model)
         for batch in batches:
-            n, ids_sha, decoded_sha, covered = [], [], [], []
+            n, ids_sha, decoded_sha, spans_sha = [], [], [], []
             for text in batch.column("text"):
                 ids, begin, end, listed = tool.encode(text.as_py())
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(listed.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(tool.decode(ids).encode()).hexdigest())
-                covered.append(int((end - begin).sum()))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "ids_sha256": pa.array(ids_sha, pa.string()),
-                    "decoded_sha256": pa.array(decoded_sha, pa.string()),
-                    "span_bytes": pa.array(covered, pa.int64()),
-                }
-            )
-
-    return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, span_bytes bigint")
+                spans_sha.append(hashlib.sha256(begin.astype("<i8").tobytes() + end.astype("<i8").tobytes()).hexdigest())
+            columns = (pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (ids_sha, decoded_sha, spans_sha)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+
+    return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
