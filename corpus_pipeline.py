@@ -1,4 +1,4 @@
-"""The corpus pipeline: each stage reads what its predecessor kept and returns the columns of documents."""
+"""The corpus pipeline: each stage reads what its predecessor kept; all return the columns of documents, the last one token ids besides."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm import compression_quality, disclosure, near_copies, sentencepiece_codec, string_tiling
-from flowframe.llm.common import cut, free_name, row_key, shared_dir, table, written
+from flowframe.llm.common import free_name, row_key, shared_dir, table, written
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.digests(docs, sentencepiece_codec.default_model())
+    """The clean documents with the ids of their texts, each piece's source bytes, and the texts that the ids decode to."""
+    return sentencepiece_codec.tokenized(docs, sentencepiece_codec.default_model())
 
 
 STAGES = [
