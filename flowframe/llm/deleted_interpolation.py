@@ -33,7 +33,7 @@ from .common import by_bytes, shuffle_partitions, table, text_or_empty, written
 BUCKETS, STEPS, CLOSE = 48, 40, 1e-5
 FOLDS, TEST_FOLD, EM_FOLD = 7, 2, 3
 #: Bytes of text: of a slice, of one piece of tokens inside it, and of what one range of keys answers for.
-SLICE, PIECE, RANGE = 8_000_000, 1_000_000, 48_000_000
+SLICE, PIECE, RANGE = 4_000_000, 1_000_000, 48_000_000
 TRAIN, DELETED, TEST, NO_ID = range(4)
 _END, _START = (xxhash.xxh64_intdigest(x, 7) for x in (b"end of text ", b"start of text "))
 _U = np.uint64
