@@ -8,7 +8,7 @@ BITS_APART apart: a table of distances to pivots discards first, as in simhash_p
 0.8 differ in 10 bits of 64 as a rule, and in more than 24 about three times in a million; sets of under SMALL
 shingles, whose fingerprints vary more, are not judged by bits. Keys with over GROUP texts tie all of
 these together. The components of the candidates are then judged exactly, each by itself, on the sets
-themselves: what has not the likeness is no link.
+themselves: what has not the likeness is no link. Large components are judged block against block.
 
 Defined results: equal texts are one node; null and empty texts are equal; rows that share a doc_id but not
 the text are judged apart; a row without doc_id gets the component of its group, null if nobody in it has an id,
@@ -31,6 +31,7 @@ from .simhash_pivots import PIVOTS, shingle_hashes, simhash_of
 
 SHINGLE, LIKENESS, BITS_APART, SMALL = 5, 0.8, 24, 32
 GROUP = 4096
+BLOCK_BYTES = 8_000_000  # of the texts of a component that are judged together
 #: Texts whose shingles are counted for the order, and how many of the most frequent shingles are sent.
 SAMPLED, FREQUENT = 20_000, 1 << 18
 
@@ -145,22 +146,24 @@ def judged(sets: list[np.ndarray], likeness: float) -> np.ndarray:
 
 
 def _verified(shingle: int, likeness: float):
+    """Links that span what is alike among the texts of each group; rows are sorted by group."""
+
     def run(batches):
-        root, nodes, sets = None, [], []
+        key, nodes, sets = None, [], []
 
         def close():
             label = judged(sets, likeness) if len(sets) > 1 else np.zeros(len(sets), np.int64)
             least = {}
             for n, x in zip(nodes, label.tolist()):
                 least[x] = min(n, least.get(x, n))
-            found = [(n, least[x]) for n, x in zip(nodes, label.tolist())]
-            return pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in found], pa.int64()), "group": pa.array([x[1] for x in found], pa.int64())})
+            found = [(n, least[x]) for n, x in zip(nodes, label.tolist()) if n != least[x]]
+            return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64()), "final": pa.array([bool(key and key[3] == 1)] * len(found), pa.bool_())})
 
         for batch in batches:
-            for r, n, data in zip(*(batch.column(c).to_pylist() for c in ("root", "node", "data"))):
-                if r != root:
+            for *group, n, data in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "blocks", "node", "data"))):
+                if group != key:
                     yield close()
-                    root, nodes, sets = r, [], []
+                    key, nodes, sets = group, [], []
                 nodes.append(n)
                 sets.append(shingle_set(data, shingle))
         yield close()
@@ -168,6 +171,25 @@ def _verified(shingle: int, likeness: float):
     return run
 
 
+def _verified_groups(texts: DataFrame, partitions: int, shingle: int, likeness: float) -> DataFrame:
+    """(node, group) of texts that are alike, out of (root, node, data), the components of candidates.
+
+    A component of over BLOCK_BYTES is cut into blocks, and every two blocks are judged by one task, so that none holds
+    more than two; what such tasks find is put together by another round of components.
+    """
+    size = texts.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("data")) / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int").alias("blocks"))
+    own = texts.join(size, "root").withColumn("own", F.pmod(F.xxhash64("node", "root"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "blocks", "node", "data")
+    order = ("root", "low", "high")
+    links = written(met.repartition(partitions, *order).sortWithinPartitions(*order).mapInArrow(_verified(shingle, likeness), "u bigint, v bigint, final boolean"))
+    done = links.where("final").select(F.col("u").alias("node"), F.col("v").alias("group"))
+    open_ = links.where("not final").select("u", "v")
+    if open_.isEmpty():
+        return done
+    return done.unionAll(components(open_).select(F.col("u").alias("node"), F.col("root").alias("group")))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS, bits: int = BITS_APART) -> DataFrame:
     """(row, doc_id, component_id, stays) for each row of docs: the smallest doc_id among its near copies, and whether it is the one that stays.
 
@@ -207,8 +229,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, likeness: float = LIKEN
     keyed = keyed.repartition(partitions, "key").sortWithinPartitions("key", "node")
     roots = components(keyed.mapInArrow(_candidates(likeness, bits), "u bigint, v bigint"))
     members = written(roots.select(F.col("u").alias("member"), "root").unionAll(roots.select(F.col("root").alias("member"), "root").distinct()))
-    texts = slim.join(members, F.col("node") == F.col("member")).select("root", "node", "data").dropDuplicates(["node"])
-    groups = written(texts.repartition(partitions, "root").sortWithinPartitions("root").mapInArrow(_verified(shingle, likeness), "node bigint, group bigint"))
+    texts = written(slim.join(members, F.col("node") == F.col("member")).select("root", "node", "data").dropDuplicates(["node"]))
+    groups = _verified_groups(texts, partitions, shingle, likeness)
     # equal texts are put together first, then groups; of a group the row with the least id stays, rows without one come last
     rows = written(docs.select(row_key().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("node")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")

@@ -33,8 +33,9 @@ def test_pipeline_drops_near_copies_with_edits(spark, monkeypatch):
                 low, high = sorted((root[a], root[b]))
                 root = {i: low if r == high else r for i, r in root.items()}
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    for group in (4096, 3):
+    for group, block in ((4096, 8_000_000), (3, 8_000_000), (4096, 3000)):  # the last: components in several blocks
         monkeypatch.setattr(near_copies, "GROUP", group)
+        monkeypatch.setattr(near_copies, "BLOCK_BYTES", block)
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect() if r.doc_id is not None} == root
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()}
     # the row without an id equals row 0, which has one
