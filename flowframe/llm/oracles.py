@@ -83,3 +83,59 @@ SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM d
 
 
 SIMHASH = _simhash()
+
+
+def _disclosure() -> str:
+    """Base spans from matches and what stands between them, then terms in the windows, counts of documents, and shares."""
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN cast(substr(reverse({digits}), cast(i AS int), 1) AS int)
+      ELSE (2 * cast(substr(reverse({digits}), cast(i AS int), 1) AS int)) // 10 + (2 * cast(substr(reverse({digits}), cast(i AS int), 1) AS int)) % 10 END)) % 10 = 0"""
+    kinds = [
+        ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+        ("[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR cast('0' || right(p, 3) AS int) > 255)) = 0"),
+        ("[0-9](?:[\\x20-]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+        ("\\+[0-9][\\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15"),
+    ]
+
+    def placed(source: str, keep: str, text: str, pattern: str) -> str:
+        """Matches v of a pattern with their start a."""
+        return f"""SELECT {keep}, unnest(vs) AS v, unnest(list_transform(range(1, len(vs) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(vs[1:i-1], lambda y: length(y))), 0))) AS a
+   FROM (SELECT {keep}, regexp_extract_all({text}, '{pattern}') AS vs, string_split_regex({text}, '{pattern}') AS gs FROM {source})"""
+
+    base = " UNION ALL ".join(f"SELECT r, {k} AS kind, cast(a AS bigint) AS a, cast(a + length(v) AS bigint) AS b, v FROM ({placed('t', 'r', 'x', pattern)}) WHERE {valid}" for k, (pattern, valid) in enumerate(kinds))
+    term = "[\\p{L}\\p{N}]+"
+    name = "['email', 'ip', 'card', 'phone', 'term'][kind + 1]"
+    listed = f"string_agg({name} || ':' || a || ':' || b, ',' ORDER BY a, kind, b)"
+    return f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+ s AS MATERIALIZED ({base}),
+ w AS (SELECT s.r, s.a AS sa, s.b AS sb, lower(v) AS entity, greatest(s.a - 80, 0) AS la, substr(x, cast(greatest(s.a - 80, 0) + 1 AS int), cast(s.a - greatest(s.a - 80, 0) AS int)) AS lx, substr(x, cast(s.b + 1 AS int), 80) AS rx FROM s JOIN t USING (r)),
+ n0 AS (SELECT r, entity, la + a AS a, la + a + length(v) AS b, v FROM ({placed('w', 'r, entity, la', 'lx', term)}) WHERE la = 0 OR a > 0
+  UNION ALL SELECT r, entity, sb + a, sb + a + length(v), v FROM ({placed('w', 'r, entity, sb, rx', 'rx', term)}) WHERE length(rx) < 80 OR a + length(v) < 80),
+ n AS MATERIALIZED (SELECT DISTINCT r, entity, cast(a AS bigint) AS a, cast(b AS bigint) AS b, lower(v) AS term FROM n0 WHERE length(v) >= 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.r = n0.r AND n0.a < s.b AND s.a < n0.b)),
+ pairs AS (SELECT entity, term, count(DISTINCT r) AS c FROM n GROUP BY 1, 2),
+ de AS (SELECT lower(v) AS entity, count(DISTINCT r) AS de FROM s GROUP BY 1),
+ dt AS (SELECT term, count(*) AS dt FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(x), '{term}'))) AS term FROM t) GROUP BY 1),
+ told AS (SELECT entity, term FROM pairs JOIN de USING (entity) JOIN dt USING (term), (SELECT cast(count(*) AS double) AS total FROM t)
+  WHERE log2(total * c / (dt * de)) / nullif(log2(total / de), 0) >= 0.75),
+ f AS (SELECT r, kind, a, b FROM s UNION ALL SELECT DISTINCT r, 4, a, b FROM n JOIN told USING (entity, term)),
+ g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS c{k}" for k in range(4))}, {listed.replace("string_agg(", "string_agg(CASE WHEN kind < 4 THEN ", 1).replace(", ',' ORDER", " END, ',' ORDER", 1)} AS own, {listed} AS every FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"cast(coalesce(c{k}, 0) AS bigint) AS n_{kind}" for k, kind in enumerate(("email", "ip", "card", "phone")))}, sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans FROM t LEFT JOIN g USING (r)"""
+
+
+DISCLOSURE = _disclosure()
+
+#: Starts are pairs of places with the same five words. Those that follow each other in both texts make a run; of each pair of texts
+#: the longest run (then the earliest) is marked in every round, and what touches it goes.
+TILING = """WITH RECURSIVE d AS (SELECT row_number() OVER () AS d, * FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents)),
+ b AS (SELECT row_number() OVER () AS b, * FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= 5),
+ i5 AS (SELECT b, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT b, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+ d5 AS (SELECT d, j, array_to_string(w[j:j+4], ' ') AS s FROM (SELECT d, w, unnest(range(1, len(w) - 3)) AS j FROM d)),
+ r AS (SELECT 0 AS round, d, b, i, j FROM d5 JOIN i5 USING (s) UNION ALL
+  SELECT round + 1, d, b, i, j FROM (SELECT *, first_value(i0) OVER best AS bi, first_value(j0) OVER best AS bj, first_value(n) OVER best AS bn FROM (
+   SELECT *, count(*) OVER run AS n, min(i) OVER run AS i0, min(j) OVER run AS j0 FROM (SELECT *, i - row_number() OVER (PARTITION BY d, b, j - i ORDER BY i) AS g FROM r)
+   WINDOW run AS (PARTITION BY d, b, j - i, g)) WINDOW best AS (PARTITION BY d, b ORDER BY n DESC, i0, j0))
+  WHERE (i < bi - 4 OR i > bi + bn + 3) AND (j < bj - 4 OR j > bj + bn + 3)),
+ t AS (SELECT d, b, round, max(n) + 4 AS n FROM (SELECT d, b, round, count(*) AS n FROM (
+   SELECT *, i - row_number() OVER (PARTITION BY round, d, b, j - i ORDER BY i) AS g FROM r) GROUP BY d, b, round, j - i, g) GROUP BY 1, 2, 3),
+ c AS (SELECT doc_id, item_id, cast(len(b.w) AS bigint) AS item_words, cast(sum(n) AS bigint) AS covered, cast(max(n) AS bigint) AS longest FROM t JOIN d USING (d) JOIN b USING (b) GROUP BY t.d, t.b, 1, 2, 3)
+SELECT doc_id, item_id, max(item_words) AS item_words, max(covered) AS covered, max(longest) AS longest, max(covered / item_words) AS coverage FROM c WHERE covered / item_words >= 0.5 GROUP BY 1, 2"""

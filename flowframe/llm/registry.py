@@ -31,4 +31,10 @@ QUERIES = {
 }
 
 #: What SQL can express; the others are held to plain Python in tests/llm.
-ORACLES = {"op3_simhash_pivots": oracles.SIMHASH, "op4_warc_revisit": oracles.WARC, "op9_suffix_dedup": oracles.REPEATS}
+ORACLES = {
+    "op1_disclosure": oracles.DISCLOSURE,
+    "op3_simhash_pivots": oracles.SIMHASH,
+    "op4_warc_revisit": oracles.WARC,
+    "op8_string_tiling": oracles.TILING,
+    "op9_suffix_dedup": oracles.REPEATS,
+}

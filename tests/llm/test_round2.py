@@ -27,7 +27,7 @@ def frame_of(spark, rows, schema="doc_id bigint, text string"):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = QUERIES[name](spark, FOLDER)
     relation = connection.sql(ORACLES[name])
