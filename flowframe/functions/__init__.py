@@ -20,13 +20,8 @@ def lines(text: Column) -> Column:
 
 
 def words_of_lines(text: Column) -> Column:
-    """java_split at single blanks of every line, all lines in one array, without a step for each line.
-
-    A line of blanks alone has no words, so it goes with its line end; blanks behind a word go; an empty line is one empty word.
-    """
-    some = F.regexp_replace(F.regexp_replace(text, r"\n +(?=\n|\z)", ""), r"\A +\n", "")
-    kept = F.regexp_replace(some, r"(?<=[^ \n]) +(?=\n|\z)", "")
-    return F.when((F.rtrim(some) == "") & (some != ""), F.array().cast("array<string>")).otherwise(F.split(F.translate(kept, "\n", " "), " "))
+    """java_split at single blanks of every line, all lines' words in one array, so that a text is exploded once."""
+    return F.flatten(F.transform(lines(text), lambda line: java_split(line, " ")))
 
 
 def normalize_url(url: Column) -> Column:

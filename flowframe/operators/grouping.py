@@ -14,7 +14,7 @@ def group_count(frame: DataFrame, key: str) -> DataFrame:
 
 
 def group_collect(frame: DataFrame, key: str, value: str) -> DataFrame:
-    """(k, values): each key's values in ascending order."""
+    """(k, values): each key's values in ascending order. The result holds a key's values in one row, so one task gathers them."""
     return frame.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(value)).alias("values"))
 
 

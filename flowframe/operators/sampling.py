@@ -23,25 +23,30 @@ def sample_by_key(frame: DataFrame, key: str, amount: float, seed: int = 0) -> D
     return frame.where(F.pmod((F.col(key) + F.lit(seed)) * F.lit(2654435761), F.lit(_SPAN)) < F.lit(int(amount * _SPAN)))
 
 
-def range_bounds(frame: DataFrame, column: str, ranges: int) -> list:
-    """Values at floor(N k / ranges), k = 1 .. ranges - 1, of the sorted column; fewer rows than that: none.
-
-    Equal values are counted before anything is sorted, so a frequent value is one row.
-    """
+def _bounds(frame: DataFrame, column: str, ranges: int) -> list[tuple]:
+    """Values at floor(N k / ranges) of the sorted column, each with how many rows are below it."""
     counted = frame.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     dealt = ranged(counted, ["v"])
     sizes = [(r[RANGE], r["n"]) for r in dealt.groupBy(RANGE).agg(F.sum("n").alias("n")).collect()]
     total = sum(n for _, n in sizes)
-    if total < ranges - 1:
+    if total < ranges - 1 or ranges < 2:
         return []
     wanted = [total * k // ranges for k in range(1, ranges)]
     before = F.coalesce(F.sum("n").over(Window.partitionBy(RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.withColumn("__inside", before).join(_starts(sizes, frame.sparkSession), RANGE).select("v", "n", (F.col("__inside") + F.col("__start")).alias("at"))
-    hit = F.filter(F.array(*[F.lit(w).cast("bigint") for w in wanted]), lambda w: (w >= F.col("at")) & (w < F.col("at") + F.col("n"))) if wanted else F.array().cast("array<bigint>")
-    found = {r["i"]: r["v"] for r in placed.select("v", F.explode(hit).alias("i")).collect()}
+    hit = F.filter(F.array(*[F.lit(w).cast("bigint") for w in wanted]), lambda w: (w >= F.col("at")) & (w < F.col("at") + F.col("n")))
+    found = {r["i"]: (r["v"], r["at"]) for r in placed.select("v", "at", F.explode(hit).alias("i")).collect()}
     return [found[i] for i in wanted]
 
 
+def range_bounds(frame: DataFrame, column: str, ranges: int) -> list:
+    """Values at floor(N k / ranges), k = 1 .. ranges - 1, of the sorted column; fewer rows than that: none.
+
+    Equal values are counted before anything is sorted, so a frequent value is one row.
+    """
+    return [v for v, _ in _bounds(frame, column, ranges)]
+
+
 def approximate_bounds(frame: DataFrame, column: str, ranges: int, accuracy: int = 10_000) -> list:
     """As range_bounds, in one aggregation and with a relative error of 1 / accuracy."""
     return frame.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], accuracy)).first()[0] or []
@@ -53,9 +58,7 @@ def sample_sort(frame: DataFrame, column: str, ties: list[str], ranges: int) ->
     Rows are numbered in as many tasks as the session has shuffle partitions, however few ports there are; a port's
     positions start where the ports before it end.
     """
-    bounds = range_bounds(frame, column, ranges)
-    dealt = range_port(frame, column, bounds)
-    sizes = {r["port"]: r["n"] for r in dealt.groupBy("port").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start: Column = F.array(*[F.lit(sum(n for q, n in sizes.items() if q < p)).cast("bigint") for p in range(len(bounds) + 1)])
-    numbered = range_port(with_position(frame, [column, *ties], "__pos"), column, bounds)
+    found = _bounds(frame, column, ranges)
+    start: Column = F.array(*[F.lit(n).cast("bigint") for n in (0, *(below for _, below in found))])
+    numbered = range_port(with_position(frame, [column, *ties], "__pos"), column, [v for v, _ in found])
     return numbered.withColumn("pos", F.col("__pos") - F.element_at(start, F.col("port") + 1)).drop("__pos")
