@@ -39,7 +39,7 @@ SPAN, GRAM = 100, 36
 _WINDOW = SPAN - GRAM + 1
 REACH = _WINDOW // 2  # of what a string has beside its anchor, one side holds half
 _SLICE = 1_500_000
-_SHARD = 3_000_000  # bytes of context that one suffix array takes in
+_SHARD = 1_500_000  # bytes of context that one suffix array takes in
 HOT = 2000  # places of an anchor that stay together, at least
 RUN = 2048  # strings of a piece of text at most
 STEP = 7  # bytes that suffixes are first ordered by
