@@ -351,7 +351,7 @@ def word_file_count(spark: SparkSession, d: str) -> DataFrame:
     """Texts written as files of lines; Spark splits the files, every line gives its words."""
     path = work_dir(spark)
     _t(spark, d, "documents").select(F.col("text").alias("value")).where("value is not null").write.option("lineSep", "\n").text(path)
-    return grouping.word_count(sources.word_file(spark, path))
+    return grouping.word_count(sources.word_file(spark, path, "\n"))
 
 
 @_query("SELECT o_custkey % 10 k, o_orderkey v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey % 10, -o_orderkey FROM orders WHERE o_orderstatus = 'F'")

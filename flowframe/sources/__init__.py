@@ -15,9 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value: one line; files are split among tasks by Spark. Lines end at a newline."""
-    return spark.read.option("lineSep", "\n").text(path)
+def text_lines(spark: SparkSession, path: str | list[str], line_end: str | None = None) -> DataFrame:
+    """value: one line; files are split among tasks by Spark. Lines end at a newline, a carriage return or both, or only where line_end says."""
+    reader = spark.read.option("lineSep", line_end) if line_end else spark.read
+    return reader.text(path)
 
 
 def words_of(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -25,8 +26,8 @@ def words_of(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(F.explode(words_of_lines(F.col(column))).alias("word"))
 
 
-def word_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return words_of(text_lines(spark, path))
+def word_file(spark: SparkSession, path: str | list[str], line_end: str | None = None) -> DataFrame:
+    return words_of(text_lines(spark, path, line_end))
 
 
 def tsv_fields(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -168,6 +168,20 @@ def test_sinks_and_sources(spark, tmp_path):
     assert got(grouping.word_count(sources.web_words(spark, page.as_uri()))) == [("Hello", 2), ("World", 1)]
 
 
+def test_printed_and_mapped(spark, tmp_path, capsys):
+    frame = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int").coalesce(1)
+    sinks.print_rows(frame, 5, 3)
+    assert capsys.readouterr().out.splitlines() == ["received on input 3: (a,1)", "received on input 3: (null,2)"]
+    assert [r.line for r in sinks.probe_rows(frame.select(F.array("k", "k").alias("row")), "row").collect()] == ["a,a", "null,null"]
+    sinks.write_pairs(frame, "json", str(tmp_path / "j"))
+    twice = lambda f: f.where("k is not null").select(F.explode(F.array("v", F.col("v") + 1)).alias("v"))
+    assert got(sources.mapped(spark, "json", str(tmp_path / "j"), twice)) == [(1,), (2,)]
+    done = mapreduce.job(frame, str(tmp_path / "o"), lambda r: [(r["k"] or "none", r["v"])], lambda k, vs: [(k, max(vs))], "key string, value bigint", "key string, top bigint", kind="orc", reducers=3)
+    assert got(done) == [("a", 1), ("none", 2)]
+    (tmp_path / "lines.txt").write_bytes(b"a b\r\nc\rd\n")
+    assert [r.word for r in sources.word_file(spark, str(tmp_path / "lines.txt")).collect()] == ["a", "b", "c", "d"]
+
+
 def test_connectors():
     many = lambda n: node(lambda f: f, "n") ^ n
     assert len((many(2) >> many(3)).edges) == 6 and len(many(2).zip(many(5)).edges) == 5 and len(many(5).zip(many(2)).edges) == 5
