@@ -31,7 +31,7 @@ from .simhash_pivots import PIVOTS, shingle_hashes, simhash_of
 
 SHINGLE, LIKENESS, BITS_APART, SMALL = 5, 0.8, 24, 32
 GROUP = 4096
-BLOCK_BYTES = 8_000_000  # of the texts of a component that are judged together
+BLOCK_BYTES = 2_000_000  # of the texts of a component that are judged together
 #: Texts whose shingles are counted for the order, and how many of the most frequent shingles are sent.
 SAMPLED, FREQUENT = 20_000, 1 << 18
 
@@ -160,12 +160,14 @@ def _verified(shingle: int, likeness: float):
             return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64()), "final": pa.array([bool(key and key[3] == 1)] * len(found), pa.bool_())})
 
         for batch in batches:
-            for *group, n, data in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "blocks", "node", "data"))):
-                if group != key:
-                    yield close()
-                    key, nodes, sets = group, [], []
-                nodes.append(n)
-                sets.append(shingle_set(data, shingle))
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                for *group, n, data in zip(*(part.column(c).to_pylist() for c in ("root", "low", "high", "blocks", "node", "data"))):
+                    if group != key:
+                        yield close()
+                        key, nodes, sets = group, [], []
+                    nodes.append(n)
+                    sets.append(shingle_set(data, shingle))
         yield close()
 
     return run

@@ -159,8 +159,8 @@ def touched(docs: DataFrame, bits: bytes) -> DataFrame:
     def run(batches):
         known = np.frombuffer(sent.value, np.uint8)
         mask = _U(8 * len(known) - 1)
-        for batch in batches:
-            rows, ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+        for part in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
+            rows, ids, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "text"))
             for a, b in by_bytes(texts, 1_000_000):
                 words = [words_of(t) for t in texts[a:b]]
                 count = np.array([len(w) for w in words])
