@@ -33,7 +33,7 @@ from .common import by_bytes, shuffle_partitions, table, text_or_empty, written
 BUCKETS, STEPS, CLOSE = 48, 40, 1e-5
 FOLDS, TEST_FOLD, EM_FOLD = 7, 2, 3
 #: Bytes of text: of a slice, of one piece of tokens inside it, and of what one range of keys answers for.
-SLICE, PIECE, RANGE = 4_000_000, 1_000_000, 48_000_000
+SLICE, PIECE, RANGE = 4_000_000, 1_000_000, 24_000_000
 TRAIN, DELETED, TEST, NO_ID = range(4)
 _END, _START = (xxhash.xxh64_intdigest(x, 7) for x in (b"end of text ", b"start of text "))
 _U = np.uint64
@@ -109,8 +109,8 @@ def packed(docs: DataFrame) -> DataFrame:
             blob = zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(texts))
             return pa.RecordBatch.from_pydict({"slice": pa.array([numbers[0]], pa.int64()), "role": pa.array([r], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "bytes": pa.array([int(lengths.sum())], pa.int64()), "texts": pa.array([blob], pa.binary())})
 
-        for batch in batches:
-            for number, doc_id, r, text in zip(*(batch.column(c).to_pylist() for c in ("number", "doc_id", "role", "data"))):
+        for part in (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000)):
+            for number, doc_id, r, text in zip(*(part.column(c).to_pylist() for c in ("number", "doc_id", "role", "data"))):
                 if held[r][0] and size[r] + len(text) > SLICE:
                     yield close(r)
                 for x, value in zip(held[r], (number, doc_id, text)):
