@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Rows that a Python worker gets at once while an intermediate table is made: texts of some KB each stay a few MB.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows at most; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage: later reads survive lost executors."""
     if not frame.sparkSession.sparkContext.getCheckpointDir():
         frame.sparkSession.sparkContext.setCheckpointDir(shared_dir(frame.sparkSession))
-    return frame.checkpoint(eager=True)
+    with small_batches(frame.sparkSession):
+        return frame.checkpoint(eager=True)
 
 
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a table in the shared folder: made once, read as often as wanted, and there when an executor is lost."""
     path = f"{shared_dir(frame.sparkSession)}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with small_batches(frame.sparkSession):
+        frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
