@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -35,15 +36,33 @@ BATCH_ROWS = 1000
 
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Arrow batches of BATCH_ROWS rows at most; the session's own setting comes back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key)
-    if not 0 < int(own) <= BATCH_ROWS:
+    """Arrow batches of BATCH_ROWS rows at most, and shuffle files that go as soon as the table is made; the session's own settings come back afterwards."""
+    key, tidy = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = {k: spark.conf.get(k) for k in (key, tidy)}
+    if not 0 < int(own[key]) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set(tidy, "true")
     try:
         yield
     finally:
-        spark.conf.set(key, own)
+        for k, value in own.items():
+            spark.conf.set(k, value)
+
+
+def lean(run):
+    """run, a function of batches, after which its Python worker gives free memory back: Spark keeps workers for later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
 
 
 def cut(frame: DataFrame) -> DataFrame:
