@@ -42,8 +42,11 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The clean documents with the ids of their texts, each piece's source bytes, and the texts that the ids decode to."""
-    return sentencepiece_codec.tokenized(docs, sentencepiece_codec.default_model())
+    """The clean documents with the ids of their texts, each piece's source bytes, and the texts that the ids decode to.
+
+    Written here, in small batches: those of the session's size took some 200 MB of an executor.
+    """
+    return written(sentencepiece_codec.tokenized(docs, sentencepiece_codec.default_model()))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, text_or_empty
+from .common import free_name, lean, table, text_or_empty
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
@@ -87,6 +87,11 @@ class Codec:
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered cuts."""
+        self.ids_of.clear()
+        self.text_of.clear()
+
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes (and its end) the source byte it starts at."""
         data = text.encode()
@@ -155,8 +160,7 @@ class Codec:
         except KeyError:
             new = list({x for x in cuts if x not in self.ids_of})
         if len(self.ids_of) + len(new) > self.CACHED:
-            self.ids_of.clear()
-            self.text_of.clear()
+            self.forget()
             new = list(set(cuts))
         for cut, ids in zip(new, self.segmenter.encode(new, num_threads=1), strict=True):
             self.ids_of[cut] = np.array(ids, np.int32).tobytes()
@@ -260,7 +264,6 @@ def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
     A name that docs has already is lengthened by underscores.
     """
     names = [free_name(docs, n) for n in ("ids", "begins", "ends", "decoded")]
-    key = free_name(docs, "__text")
     kinds = ("array<int>", "array<bigint>", "array<bigint>", "string")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {k}" for n, k in zip(names, kinds))])
 
@@ -269,13 +272,13 @@ def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                rows = [tool.encode(x) for x in part.column(key).to_pylist()]
+                rows = [tool.encode(x or "") for x in part.column("text").to_pylist()]
                 made = [pa.array([r[c] for r in rows], pa.list_(k)) for c, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
                 made.append(pa.array([tool.decode(r[0]) for r in rows], pa.string()))
-                kept = [c for c in part.schema.names if c != key]
-                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *made], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
+        tool.forget()  # some 100 MB, which would stay beside later stages
 
-    return docs.withColumn(key, text_or_empty()).mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:

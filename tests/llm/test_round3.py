@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowframe.llm import near_copies
@@ -62,3 +63,18 @@ def test_filters_of_candidates_lose_no_link():
                 held = {"size": np.array([len(sets[i]), len(sets[j])]), "at": at, "fp": fp[[i, j]], "more": more[[i, j]], "pivots": pivots[[i, j]]}
                 passed += len(near_copies._passing(np.array([0]), np.array([1]), held, 0.8, near_copies.BITS_APART))
     assert alike == passed > 500
+
+
+def test_workers_of_the_last_stage_get_small_batches(spark, monkeypatch):
+    """pipeline: batches of 10,000 texts, the session's, brought executors over 3000 MB."""
+    import corpus_pipeline
+    from flowframe.llm import common
+
+    def sizes(docs, model):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
+    monkeypatch.setattr(corpus_pipeline.sentencepiece_codec, "tokenized", sizes)
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [r.n for r in corpus_pipeline.encode(spark, spark.range(100).selectExpr("id doc_id", "'a text' text"), "").collect()]
+    assert sum(found) == 100 and max(found) <= 7 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own
