@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm import compression_quality, disclosure, near_copies, sentencepiece_codec, string_tiling
-from flowframe.llm.common import free_name, row_key, shared_dir, table, written
+from flowframe.llm.common import free_name, row_key, shared_dir, table, WIDE, written
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The clean documents with the ids of their texts, each piece's source bytes, and the texts that the ids decode to.
 
-    Written here, in small batches: those of the session's size took some 200 MB of an executor.
+    Written here, in small batches: those of the session's size took some 200 MB of an executor. Row groups are small too.
     """
-    return written(sentencepiece_codec.tokenized(docs, sentencepiece_codec.default_model()))
+    return written(sentencepiece_codec.tokenized(docs, sentencepiece_codec.default_model()), WIDE)
 
 
 STAGES = [

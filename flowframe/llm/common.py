@@ -73,11 +73,15 @@ def cut(frame: DataFrame) -> DataFrame:
         return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame) -> DataFrame:
+#: For `written` tables of wide rows: a reader holds a row group's rows decoded and a writer gathers them, so a group of Parquet's 128 MB took a heap of 1800 MB.
+WIDE = {"parquet.block.size": 8 << 20, "compression": "zstd"}
+
+
+def written(frame: DataFrame, options: dict | None = None) -> DataFrame:
     """The frame as a table in the shared folder: made once, read as often as wanted, and there when an executor is lost."""
     path = f"{shared_dir(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     with small_batches(frame.sparkSession):
-        frame.write.parquet(path)
+        frame.write.options(**options or {}).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

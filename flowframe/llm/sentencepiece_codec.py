@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, lean, table, text_or_empty
+from .common import by_bytes, free_name, lean, table, text_or_empty
 
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _REPLACEMENT = "�".encode()
+SLICE = 500_000  # characters of text whose pieces leave a worker at once: some 4 MB of ids and spans
 _NORMAL, _UNKNOWN, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 
 
@@ -270,9 +271,10 @@ def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         tool = codec(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                rows = [tool.encode(x or "") for x in part.column("text").to_pylist()]
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for start, stop in by_bytes(texts, SLICE):
+                part = batch.slice(start, stop - start)
+                rows = [tool.encode(x) for x in texts[start:stop]]
                 made = [pa.array([r[c] for r in rows], pa.list_(k)) for c, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
                 made.append(pa.array([tool.decode(r[0]) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
