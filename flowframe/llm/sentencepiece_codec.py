@@ -26,6 +26,7 @@ SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _REPLACEMENT = "�".encode()
 SLICE = 500_000  # characters of text whose pieces leave a worker at once: some 4 MB of ids and spans
+REMEMBERED = 100_000  # distinct cuts beyond which a worker of `tokenized` empties its memory before the next slice
 _NORMAL, _UNKNOWN, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 
 
@@ -273,12 +274,14 @@ def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for start, stop in by_bytes(texts, SLICE):
+                if len(tool.ids_of) > REMEMBERED:
+                    tool.forget()
                 part = batch.slice(start, stop - start)
                 rows = [tool.encode(x) for x in texts[start:stop]]
                 made = [pa.array([r[c] for r in rows], pa.list_(k)) for c, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
                 made.append(pa.array([tool.decode(r[0]) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
-        tool.forget()  # some 100 MB, which would stay beside later stages
+        tool.forget()  # some tens of MB, which would stay beside later stages
 
     return docs.mapInArrow(lean(run), schema)
 
