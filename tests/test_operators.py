@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -155,6 +156,52 @@ def test_map_reduce(spark):
     assert got(mapreduce.map_aggregate(frame, F.col("k"), F.col("v"), F.sum)) == [("a", 4), ("b", 2)]
 
 
+def test_reducers_get_combined_values(spark):
+    frame = spark.range(0, 40000, 1, 8).select((F.col("id") % 5000).alias("k"))  # every map task has every key once
+    found = mapreduce.map_reduce(
+        frame,
+        lambda r: [(r["k"], [r["k"], 1])],
+        lambda k, vs: [(k, len(vs), sum(int(v[1]) for v in vs))],
+        "key bigint, value array<bigint>",
+        "key bigint, parts int, n bigint",
+        combiner=lambda k, vs: [max(v[0] for v in vs), sum(v[1] for v in vs)],
+        reducers=3,
+    )
+    assert found.rdd.getNumPartitions() == 3
+    rows = found.collect()
+    assert len(rows) == 5000 and {r.n for r in rows} == {8} and max(r.parts for r in rows) <= 2
+
+
+@pytest.mark.parametrize("held", [0, 2000, mapreduce.HELD])
+def test_combined_pairs_are_whole_however_few_are_held(spark, monkeypatch, held):
+    monkeypatch.setattr(mapreduce, "HELD", held)
+    keys = [None if i % 7 == 0 else f"k{i * i % 301}" for i in range(9000)]
+    frame = spark.createDataFrame(list(zip(keys, range(9000))), "k string, v int").repartition(5)
+    pair = collections.namedtuple("pair", "top n")
+
+    def combiner(k, vs):
+        assert {type(v).__name__ for v in vs} == {"pair"}  # never what a shuffle makes of them
+        return pair(max(v.top for v in vs), sum(v.n for v in vs))
+
+    def reducer(k, vs):
+        return [(k, max(v["top"] for v in vs), sum(v["n"] for v in vs))]
+
+    steps = {"pair_schema": "key string, value struct<top: bigint, n: bigint>", "result_schema": "key string, top bigint, n bigint"}
+    expected = {k: (max(i for i in range(9000) if keys[i] == k), keys.count(k)) for k in set(keys)}
+    for reducers in (None, 2):
+        found = mapreduce.map_reduce(frame, lambda r: [(r["k"], pair(r["v"], 1))], reducer, combiner=combiner, reducers=reducers, **steps)
+        assert {r.key: (r.top, r.n) for r in found.collect()} == expected
+    nothing = mapreduce.map_reduce(frame.where("v < 0"), lambda r: [(r["k"], pair(r["v"], 1))], reducer, combiner=combiner, reducers=2, **steps)
+    assert nothing.collect() == []
+
+
+def test_missing_numeric_keys_are_combined(spark):
+    frame = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("k"))
+    found = mapreduce.map_reduce(frame, lambda r: [(r["k"], 1)], lambda k, vs: [(None if k != k else k, len(vs), sum(vs))], "key bigint, value bigint", "key bigint, parts int, n bigint", combiner=lambda k, vs: sum(vs), reducers=2)
+    rows = found.collect()
+    assert {r.key: r.n for r in rows} == {None: 2000, 0: 667, 1: 666, 2: 667} and max(r.parts for r in rows) <= 2
+
+
 def test_sinks_and_sources(spark, tmp_path):
     frame = spark.createDataFrame([("x", "k", "v")], "a string, b string, c string")
     sinks.write_text(frame, str(tmp_path / "t"), "b", "c")
